@@ -4,9 +4,9 @@ A sequence of tokens is the BPE encoding of its bytes exactly if each two neighb
 together, give just these two tokens. So the last token of every prefix is fixed by the last
 tokens of shorter prefixes, and reading a byte needs only (a) the last token before the pending
 bytes and (b) the pending bytes: that pair is a state of the transducer. A byte moves it to the
-next state and emits the tokens on which all prefixes that can still be extended agree. States
-and moves are made when first met and forgotten when there are too many. Pending bytes are
-bounded by the lookahead the vocabulary needs, so a piece of any length streams through.
+next state and emits the tokens on which all prefixes that can still be extended agree. Pending bytes are
+bounded by the lookahead the vocabulary needs, so a piece of any length streams through. States and moves are made when first met, up to a bound; a short
+tail that leaves the known states is finished by the same recurrence without making more.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 #: Above any rank.
 NONE = 1 << 40
-#: Entries of the memos of moves and of units before each is emptied.
-MOVES, MEMO = 250_000, 600_000
+#: Bounds of the memos of moves and of units.
+MOVES, MEMO = 200_000, 1_000_000
+#: Letters of these alone are one match after a blank.
+PLAIN = re.compile(r" [a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 #: A white-space run and the run after it: no match of the splitting pattern goes from other characters to white space.
 UNITS = re.compile(r"\s*\S+|\s+")
 #: Characters that Python, but not the pattern, takes as white space.
@@ -43,16 +45,19 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], memo: int = MOVES):
         self.ranks, self.memo = ranks, memo
-        self.starts = {t[:i] for t in ranks for i in range(len(t) + 1)}
-        self.fit: dict[tuple[bytes, bytes], bool] = {}
+        #: Every beginning of a token, with the token's rank or -1.
+        self.starts = dict.fromkeys((t[:i] for t in ranks for i in range(1, len(t) + 1)), -1) | ranks
+        self.token = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.packed = {r: r.to_bytes(4, "little") for r in self.token}
+        self.fit: dict[int, bool] = {}
         self.made_of: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
-        self.keys: list[tuple[bytes, bytes]] = [(b"", b"")]
-        self.ids = {(b"", b""): 0}
-        self.nodes: list[tuple[list[bytes], list[int]]] = [([b""], [0])]
+        # a state: rank of the last token before the pending bytes (-1: none) and these bytes
+        self.keys: list[tuple[int, bytes]] = [(-1, b"")]
+        self.ids = {(-1, b""): 0}
+        # for each state the last token of every pending prefix, and where a token may still have begun
+        self.nodes: list[tuple[list[int], list[int]]] = [([-1], [0])]
         self.made = 0
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -67,8 +72,18 @@ class Transducer:
             self.made_of[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self.made_of[token]
 
-    def fits(self, before: bytes, token: bytes) -> bool:
-        """Whether merging before + token ends in just these two: no merge ever goes across the seam.
+    def fits(self, before: int, token: int) -> bool:
+        """Whether merging the bytes of both tokens ends in just these two; memoised."""
+        key = before << 32 | token
+        got = self.fit.get(key)
+        if got is None:
+            if len(self.fit) >= 2 * self.memo:
+                self.fit.clear()
+            got = self.fit[key] = self.seam(self.token.get(before, b""), self.token[token])
+        return got
+
+    def seam(self, before: bytes, token: bytes) -> bool:
+        """Whether no merge ever goes across the seam.
 
         Merges are undone from the last one back, looking only at the parts beside the seam. A part
         that is undone was made at its rank, so the pair that then meets at the seam must not have
@@ -76,17 +91,11 @@ class Transducer:
         """
         if (len(token) > 1 and not self.halves(token)) or (len(before) > 1 and not self.halves(before)):
             return False
-        if not before:
-            return True
-        key = (before, token)
-        got = self.fit.get(key)
-        if got is not None:
-            return got
-        left, right, until, got = before, token, NONE, True
-        while got:
+        left, right, until = before, token, NONE
+        while left:
             if self.ranks.get(left + right, NONE) < until:
-                got = False
-            elif len(left) > 1 and (len(right) == 1 or self.ranks[left] > self.ranks[right]):
+                return False
+            if len(left) > 1 and (len(right) == 1 or self.ranks[left] > self.ranks[right]):
                 until = self.ranks[left]
                 left = self.halves(left)[1]
             elif len(right) > 1:
@@ -94,34 +103,39 @@ class Transducer:
                 right = self.halves(right)[0]
             else:
                 break
-        if len(self.fit) >= self.memo:
-            self.fit.clear()
-        self.fit[key] = got
-        return got
+        return True
 
-    def move(self, state: int, byte: int) -> tuple[int, bytes]:
-        """The state after a byte and the ids emitted on the way (unsigned 32-bit, little-endian)."""
-        before, pending = self.keys[state]
-        pending += bytes((byte,))
-        last, live = self.nodes[state]
-        ranks, n, found, left = self.ranks, len(pending), None, []
+    def read(self, before: int, pending: bytes, last: list[int], live: list[int], n: int) -> list[int]:
+        """Adds to last the last token of the first n pending bytes; gives where a token may still have begun."""
+        starts, fit, left, found = self.starts, self.fit, [], None
         for j in live:  # the longest first; one start at most fits
-            token = pending[j:]
-            if token in self.starts:
+            rank = starts.get(pending[j:n])
+            if rank is not None:
                 left.append(j)
-            if found is None and token in ranks and self.fits(last[j] if j else before, token):
-                found = token
+                if rank >= 0 and found is None:
+                    seam = last[j] if j else before
+                    ok = fit.get(seam << 32 | rank)
+                    if ok or (ok is None and self.fits(seam, rank)):
+                        found = rank
         if found is None:
             raise ValueError("the vocabulary lacks a byte")
-        last = [*last, found]
+        last.append(found)
         left.append(n)
-        at = n
+        return left
+
+    def move(self, state: int, byte: int) -> tuple[int, bytes]:
+        """The state after a byte and the ids emitted on the way (unsigned 32-bit, little-endian)."""
+        before, pending = self.keys[state]
+        pending += bytes((byte,))
+        last, live = self.nodes[state]
+        last, size, at = list(last), self.size, len(pending)
+        left = self.read(before, pending, last, live, at)
         for j in left:  # the deepest boundary on the way back from every start that can still grow
             while at != j:
                 if at > j:
-                    at -= len(last[at])
+                    at -= size[last[at]]
                 else:
-                    j -= len(last[j])
+                    j -= size[last[j]]
         key = (last[at] if at else before, pending[at:])
         to = self.ids.get(key)
         if to is None:
@@ -130,34 +144,47 @@ class Transducer:
             self.moves.append({})
             self.nodes.append((last[at:], [j - at for j in left if j >= at]))
         self.made += 1
-        got = self.moves[state][byte] = (to, self.tokens(last, at))
+        got = self.moves[state][byte] = (to, self.emitted(last, at))
         return got
 
-    def tokens(self, last: list[bytes], at: int) -> bytes:
+    def emitted(self, last: list[int], at: int) -> bytes:
         """Ids of the tokens that lead to a boundary."""
         out = []
         while at:
-            out.append(self.packed(last[at]))
-            at -= len(last[at])
+            out.append(self.packed[last[at]])
+            at -= self.size[last[at]]
         return b"".join(out[::-1])
 
-    def packed(self, token: bytes) -> bytes:
-        return self.ranks[token].to_bytes(4, "little")
+    def rest(self, state: int, tail: bytes) -> bytes:
+        """Ids from a state over a short tail to the end, by the same recurrence but without making states."""
+        before, pending = self.keys[state]
+        last, live = self.nodes[state]
+        last, whole = list(last), pending + tail
+        for n in range(len(pending) + 1, len(whole) + 1):
+            live = self.read(before, whole, last, live, n)
+        return self.emitted(last, len(whole))
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
-        if piece in self.ranks:
-            return self.packed(piece)
-        if self.made > self.memo:
-            self.forget()
+        rank = self.ranks.get(piece)
+        if rank is not None:
+            return self.packed[rank]
         out, state, moves = [], 0, self.moves
-        for byte in piece:
-            got = moves[state].get(byte) or self.move(state, byte)
+        for i, byte in enumerate(piece):
+            got = moves[state].get(byte)
+            if got is None:
+                if self.made >= self.memo:
+                    if len(piece) - i <= 64:  # the states met first stay; what leaves them ends without new ones
+                        out.append(self.rest(state, piece[i:]))
+                        return b"".join(out)
+                    if self.made >= 4 * self.memo:
+                        self.__init__(self.ranks, self.memo)
+                        return self.encode(piece)
+                got = self.move(state, byte)
             state = got[0]
             if got[1]:
                 out.append(got[1])
-        last, _ = self.nodes[state]
-        out.append(self.tokens(last, len(self.keys[state][1])))
+        out.append(self.rest(state, b""))
         return b"".join(out)
 
 
@@ -200,7 +227,7 @@ class Tokenizer:
     def unit(self, text: str) -> bytes:
         got = self.units.get(text)
         if got is None:
-            got = b"".join([self.machine.encode(p.encode("utf-8")) for p in self.split(text)])
+            got = b"".join([self.machine.encode(p.encode("utf-8")) for p in ([text] if PLAIN(text) else self.split(text))])
             if len(text) <= 64:
                 if len(self.units) >= MEMO:
                     self.units.clear()
