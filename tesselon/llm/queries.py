@@ -98,9 +98,9 @@ _NOTICES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in
 ORACLE_SQL = {
     "op7_embeddings": """
         with recursive v as (
-            select vec_id, list_transform(embedding, x -> x::double) as e from embeddings
+            select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
         ), u as (
-            select vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) as e from v
+            select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v
         ), links as (
             select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
             where list_dot_product(a.e, b.e) >= 0.95
@@ -116,10 +116,10 @@ ORACLE_SQL = {
     """,
     "op9_licenses": f"""
         with t(license, body) as (values {_NOTICES}),
-        w as (select license, list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') as w from t),
-        g as (select license, list_distinct(case when len(w) <= 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as g from w),
-        d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') as w from documents),
-        s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) <= 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end) as x from d),
+        w as (select license, list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from t),
+        g as (select license, list_distinct(case when len(w) <= 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+        d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) <= 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as x from d),
         k as (select license, len(g)::bigint as n_shingles, unnest(g) as x from g),
         f as (select doc_id, license, n_shingles, count(*) as n_shared from s join k using (x) group by all)
         select doc_id, license, n_shared, n_shingles, n_shared / n_shingles as containment from f where n_shared / n_shingles >= 0.8
