@@ -4,9 +4,10 @@ Texts and templates become lower-case words of letters and digits, then 5-word s
 each class of template lengths a text's shingles are cut into windows that overlap by so much
 that any place of a template lies whole in one. Band b of a window is the smallest of its
 shingle hashes XORed with a constant: which shingle is nearest to that constant, so two sets agree
-in it with a chance of their Jaccard similarity. One row per band; with `bands` bands a window of similarity
-J is missed with a chance of (1 - J) ** bands. Windows of a class are at most `slack` longer than
-its shortest template, which bounds J from below: see miss_chance(). A template found by a band is verified by the exact
+in it with a chance of their Jaccard similarity. With one row in each of `bands` bands a window of
+similarity J is missed with a chance of (1 - J) ** bands. A class's windows are little longer
+than its templates, which bounds J from below, and it gets as many bands as keep the chance of a miss
+under a given one (see classes_for()). A template found by a band is verified by the exact
 share of its shingles that the whole text holds. All of this is DataFrame expressions within a
 row: no shuffle, no Python.
 """
@@ -53,8 +54,22 @@ class Band:
         return (1 - shared / (self.size + self.low - shared)) ** self.bands
 
 
-#: One and two shingles need exact places; longer ones get slack.
-CLASSES = (Band(1, 1, 1, 1, 1), Band(2, 3, 3, 1, 4), Band(4, 9, 12, 4, 12), Band(10, 40, 48, 12, 14))
+def classes_for(lengths: Iterable[int], containment: float = 0.8, miss: float = 1e-3) -> list[Band]:
+    """Classes of nearly equal lengths, each with so many bands that a place is missed with a chance of at most `miss`."""
+    groups: list[list[int]] = []
+    for n in sorted(set(lengths)):
+        if groups and n > 4 and n <= groups[-1][0] * 1.2:
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    out = []
+    for g in groups:
+        size = g[-1] if g[-1] <= 4 else g[-1] + max(2, g[-1] // 6)
+        bands = 1
+        while Band(g[0], g[-1], size, size - g[-1] + 1, bands).miss_chance(containment) > miss:
+            bands += 1
+        out.append(Band(g[0], g[-1], size, size - g[-1] + 1, bands))
+    return out
 
 
 def shingles_sql(text: str) -> str:
@@ -71,7 +86,7 @@ def _constants(n: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in (v & (1 << 64) - 1 for v in out)]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text", classes: Iterable[Band] = CLASSES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text", miss: float = 1e-3) -> DataFrame:
     """One row per row of docs and template found: id, license, n_shared, n_shingles, containment.
 
     containment is the share of the template's different shingles that the text holds. A text or
@@ -82,6 +97,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     templates = TEMPLATES if templates is None else templates
     rows = spark.createDataFrame(sorted(templates.items()), "name string, body string").withColumn("w", F.expr(shingles_sql("body")))
     known = {r["name"]: r["g"] for r in rows.select("name", F.expr(f"array_distinct({_grams('w')})").alias("g")).collect() if r["g"]}
+    classes = classes_for((len(g) for g in known.values()), containment, miss)
     constants = _constants(max([b.bands for b in classes], default=1))
     df = docs.select(F.col(id_col).alias("id"), F.expr(shingles_sql(f"`{text_col}`")).alias("w"))
     df = df.select("id", F.expr(_grams("w")).alias("g"))
