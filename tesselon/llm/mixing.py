@@ -34,7 +34,7 @@ def _words(text: str) -> Column:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> tuple[DataFrame, list[float]]:
-    """Words with a log weight per domain (w0, w1, ...), and the domains' log priors.
+    """Words with a log weight per domain for being there rather than not (w0, w1, ...), and the log weights of a text without any.
 
     Uses the `sample` labelled rows of lowest hashed id; keeps the `features` words, seen in 4 of
     them or more, that tell the domains apart best. Without labelled rows: no words, equal priors.
@@ -48,12 +48,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, tables: Tables, id_col: s
     words = texts.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"), *counts).where("c >= 4")
     share = [sizes.get(d, 0) / max(total, 1) for d in DOMAINS]
     surprise = [(F.col(f"c{i}") - F.col("c") * s) / F.sqrt(F.col("c") * s + 1.0) for i, s in enumerate(share)]
-    odds = [F.ln((F.col(f"c{i}") + 0.5) / (sizes.get(d, 0) + 1.0) / ((F.col("c") + 0.5) / (total + 1.0))) for i, d in enumerate(DOMAINS)]
-    # a weight counts only where the word's count in the domain is no accident
-    words = words.withColumns({f"w{i}": F.when(F.abs(z) >= 4, F.least(F.greatest(o, F.lit(-3.0)), F.lit(3.0))).otherwise(0.0) for i, (z, o) in enumerate(zip(surprise, odds, strict=True))} | {"tells": F.greatest(*map(F.abs, surprise))})
-    model = words.where("tells >= 4").orderBy(F.col("tells").desc(), "word").limit(features).select("word", *(f"w{i}" for i in range(len(DOMAINS))))
-    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(DOMAINS))) for d in DOMAINS]
-    return tables.write(model), prior
+    rate = [(F.col(f"c{i}") + 0.5) / (sizes.get(d, 0) + 1.0) for i, d in enumerate(DOMAINS)]
+    mean = (F.col("c") + 0.5) / (total + 1.0)
+    sure = [F.abs(z) >= 4 for z in surprise]  # a weight counts only where the word's count in the domain is no accident
+    bounded = lambda x: F.least(F.greatest(x, F.lit(-3.0)), F.lit(3.0))
+    there = [F.when(ok, bounded(F.ln(r / mean))).otherwise(0.0) for ok, r in zip(sure, rate, strict=True)]
+    missing = [F.when(ok, bounded(F.ln((1.0 - r) / (1.0 - mean)))).otherwise(0.0) for ok, r in zip(sure, rate, strict=True)]
+    words = words.withColumns({f"w{i}": t - m for i, (t, m) in enumerate(zip(there, missing, strict=True))} | {f"a{i}": m for i, m in enumerate(missing)} | {"tells": F.greatest(*map(F.abs, surprise))})
+    model = tables.write(words.where("tells >= 4").orderBy(F.col("tells").desc(), "word").limit(features))
+    away = model.agg(*(F.coalesce(F.sum(f"a{i}"), F.lit(0.0)).alias(f"a{i}") for i in range(len(DOMAINS)))).first()
+    prior = [math.log((sizes.get(d, 0) + 1) / (total + len(DOMAINS))) + away[f"a{i}"] for i, d in enumerate(DOMAINS)]
+    return model.select("word", *(f"w{i}" for i in range(len(DOMAINS)))), prior
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], tables: Tables, id_col: str = "doc_id", text_col: str = "text", temper: float = 1.0) -> DataFrame:
@@ -92,7 +97,7 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [r[n] for r in rows]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 30, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
     """Gradient steps after which expected tokens per domain match the targets (shares of all tokens).
 
     The gradient of the squared misses is scaled by each document's tokens and by the domains'
@@ -110,11 +115,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, mos
     before = None
     for _ in range(rounds):
         rate = cells.withColumn("rate", replay(steps, most))
-        free = F.when((F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most), F.col("w")).otherwise(F.col("w") * 0.02)
+        inside = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
+        free = F.when(inside | F.lit(not steps), F.col("w")).otherwise(F.col("w") * 0.5)
         x = [F.col(c) / GRID for c in p]
         now = rate.agg(*(F.sum(F.col("w") * x[i] * F.col("rate")).alias(f"sum_{i}") for i in d), *(F.sum(free * x[i] * x[j]).alias(f"m_{i}{j}") for i in d for j in d)).first()
         miss = [now[f"sum_{i}"] / total - targets[n] for i, n in enumerate(DOMAINS)]
-        if max(map(abs, miss)) < tolerance or before and max(abs(a - b) for a, b in zip(miss, before, strict=True)) < tolerance / 10:
+        if max(map(abs, miss)) < tolerance or before and max(abs(a - b) for a, b in zip(miss, before, strict=True)) < tolerance / 100:
             break
         before = miss
         moment = [[now[f"m_{i}{j}"] / total + (1e-4 if i == j else 0.0) for j in d] for i in d]
