@@ -103,24 +103,25 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     df = df.select("id", F.expr(_grams("w")).alias("g"))
     found = []
     array = lambda xs: "array(" + ", ".join(f"{x}L" if x != -(1 << 63) else "cast('-9223372036854775808' as bigint)" for x in xs) + ")"
-    used = 1
     tests: dict[str, str] = {}
+    least = {n: [min(h ^ c for h in g) for c in constants[: next(k.bands for k in classes if k.low <= len(g) <= k.high)]] for n, g in known.items()}
+    # a window's minimum can be a template's only where the shingle that gave it is in the text
+    givers = sorted({m ^ c for v in least.values() for m, c in zip(v, constants, strict=False)})
+    df = df.withColumn("met", F.expr(f"array_intersect(g, {array(givers)})") if givers else F.col("g"))
     for band in classes:
         mine = {n: g for n, g in known.items() if band.low <= len(g) <= band.high}
-        if not mine:
-            continue
         if band.size == 1:
             for name, g in mine.items():
                 tests[name] = f"array_contains(g, {array(g)[6:-1]})"
             continue
-        used = max(used, band.bands)
+        starts = f"sequence(1, greatest(1, size(g) - {band.size - band.step}), {band.step})"
         for b in range(band.bands):
-            column = f"m{band.low}_{b}"
-            starts = f"sequence(1, greatest(1, size(g) - {band.size - band.step}), {band.step})"
-            df = df.withColumn(column, F.expr(f"case when size(g) = 0 then cast(array() as array<bigint>) else transform({starts}, s -> array_min(slice(x{b}, s, {band.size}))) end")) if f"x{b}" in df.columns else df.withColumn(f"x{b}", F.expr(f"transform(g, h -> h ^ {constants[b]}L)")).withColumn(column, F.expr(f"case when size(g) = 0 then cast(array() as array<bigint>) else transform({starts}, s -> array_min(slice(x{b}, s, {band.size}))) end"))
-        for name, g in mine.items():
-            least = [min(h ^ constants[b] for h in g) for b in range(band.bands)]
-            tests[name] = " or ".join(f"array_contains(m{band.low}_{b}, {array([m])[6:-1]})" for b, m in enumerate(least))
+            here = array(sorted({least[n][b] ^ constants[b] for n in mine}))
+            # bound by a lambda, so that the optimiser cannot move the hashing into the loop over windows
+            minima = f"transform(array(transform(g, h -> h ^ {constants[b]}L)), x -> transform({starts}, s -> array_min(slice(x, s, {band.size}))))[0]"
+            df = df.withColumn(f"m{band.low}_{b}", F.expr(f"case when arrays_overlap(met, {here}) then {minima} else cast(array() as array<bigint>) end"))
+        for name in mine:
+            tests[name] = " or ".join(f"array_contains(m{band.low}_{b}, {array([m])[6:-1]})" for b, m in enumerate(least[name]))
     for name, g in known.items():
         if name in tests:
             shared = f"size(array_intersect({array(g)}, g))"
