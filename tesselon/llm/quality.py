@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Tables, fresh, same, text_key
+from .common import SPACE, Tables, text_key
 
 #: Smallest standard deviation of each statistic: within a few of these nothing is an outlier.
 FLOORS = {"x_length": 0.15, "x_symbols": 0.5, "x_lines": 0.25, "x_repeats": 0.25}
@@ -136,8 +136,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Null and empty texts have zero counts and fail the base rules. A null language or source is a
     group of its own. Rows that repeat each count. Without rows the result is empty.
     """
+    return _judged(docs, F.col(id_col).alias("id"), text_col, lang_col, source_col, cutoff, small).withColumnRenamed("id", id_col)
+
+
+def _judged(docs: DataFrame, carried: Column, text_col: str, lang_col: str = "lang", source_col: str = "source", cutoff: float = 45.0, small: int = 50) -> DataFrame:
+    """id (the carried column, which may hold whole rows) with the counts and the verdict. Rows meet only a table of groups."""
     tables = Tables(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(carried.alias("id"), text_key(text_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     rows = tables.write(_transformed(base_statistics(rows)).drop("text"))
     good = rows.where("not base_failed").select(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s"), *DIMS)
     sizes = good.groupBy("l", "s").count().where(F.col("count") >= small).select(F.col("l").alias("big_l"), F.col("s").alias("big_s"))
@@ -149,13 +154,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     joined = joined.withColumns({"to_lang": F.when(F.col("big_l").isNull(), "").otherwise(F.col("big_l")), "to_source": F.when(F.col("big_l").isNull(), "\0all").otherwise(F.col("big_s"))})
     joined = joined.join(found, (F.col("to_lang") == F.col("g_lang")) & (F.col("to_source") == F.col("g_source")), "left")
     return joined.withColumn("distance", _distance()).select(
-        F.col("id").alias(id_col), "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept")
+        "id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the rules keep, all columns as they are."""
-    (key,) = fresh(docs, "tess_key")
-    bad = judge(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    own = docs.withColumn(key, text_key(text_col))
-    return own.join(bad, same(own, bad, (id_col, "bad_id"), (key, "bad_key")), "left_anti").select(*(f"`{c}`" for c in docs.columns))
+def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are. Texts are not shuffled."""
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return _judged(docs, rows, text_col, **options).where("kept").select("id.*")
