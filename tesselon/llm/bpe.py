@@ -217,11 +217,12 @@ class Utf8Stream:
 class Tokenizer:
     """Splits texts by a pattern, encodes each match with the transducer, and decodes ids."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, moves: int = MOVES, memo: int = MEMO):
+        self.memo = memo
         self.ranks = read_ranks(path)
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.machine = Transducer(self.ranks)
+        self.machine = Transducer(self.ranks, moves)
         self.units: dict[str, bytes] = {}
 
     def unit(self, text: str) -> bytes:
@@ -229,7 +230,7 @@ class Tokenizer:
         if got is None:
             got = b"".join([self.machine.encode(p.encode("utf-8")) for p in ([text] if PLAIN(text) else self.split(text))])
             if len(text) <= 64:
-                if len(self.units) >= MEMO:
+                if len(self.units) >= self.memo:
                     self.units.clear()
                 self.units[text] = got
         return got
@@ -253,9 +254,9 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
+def tokenizer(path: str, pattern: str, moves: int = MOVES, memo: int = MEMO) -> Tokenizer:
     """One per Python worker, kept between tasks."""
-    return Tokenizer(path, pattern)
+    return Tokenizer(path, pattern, moves, memo)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,14 +285,15 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return _narrow(encoded, id_col, ids_col, run, "text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", moves: int = MOVES, memo: int = MEMO) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without a shuffle.
 
-    Null texts count as empty. Each row gives a row, repeats included; other columns are ignored.
+    moves and memo bound what a worker keeps of the transducer and of encoded units; they trade
+    memory (about 1 KB a move, 0.3 KB a unit) for time and never change results. Null texts count as empty. Each row gives a row, repeats included; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
+        t = tokenizer(path, pattern, moves, memo)
         for batch in batches:
             n, first, second = [], [], []
             for x in batch.column(0):

@@ -113,8 +113,7 @@ def test_bpe():
 
     t = bpe.tokenizer(TEXT, P.PATTERN)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=t.ranks, special_tokens={})
-    small = bpe.Tokenizer(TEXT, P.PATTERN)
-    small.machine.memo = 50  # states run out at once
+    small = bpe.Tokenizer(TEXT, P.PATTERN, moves=50, memo=20)  # states and units run out at once
     texts = ["".join(random.choice("ab \n\t'sthéß中🙂0123  <|endoftext|>.,!\x1c\x85\xa0  the ing") for _ in range(random.randint(0, 60))) for _ in range(500)]
     for x in [*texts, "a" * 3000, "ab" * 2000, " " * 999, "中" * 500, "\n" * 99]:
         want = np.array(lib.encode_ordinary(x), "<u4").tobytes()
