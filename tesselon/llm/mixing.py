@@ -152,6 +152,6 @@ def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: st
     u = F.pmod(F.xxhash64(F.coalesce(F.col("r_id").cast("string"), F.lit("")), "r_key", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = rates.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), "rate").select("r_id", "r_key", F.floor(F.col("rate") + u).cast("int").alias(copies)).where(F.col(copies) > 0)
     own = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    joined = own.join(some, own[id_col].eqNullSafe(some["r_id"]) & (own[key] == some["r_key"]))
+    joined = own.join(some.hint("shuffle_hash"), own[id_col].eqNullSafe(some["r_id"]) & (own[key] == some["r_key"]))
     columns = [own[f"`{c}`"] for c in docs.columns]
     return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(f"`{c}`" for c in docs.columns))

@@ -130,7 +130,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _components(docs, id_col, text_col, shingle).where("id <=> component_id").groupBy("id", "k").count()
     kept = found.select(F.col("id").alias("keep_id"), F.col("k").alias("keep_key"), "count")
     own = docs.withColumn(key, text_key(text_col))
-    own = own.join(kept, same(own, kept, (id_col, "keep_id"), (key, "keep_key")))
+    own = own.join(kept.hint("shuffle_hash"), same(own, kept, (id_col, "keep_id"), (key, "keep_key")))
     columns = [own[f"`{c}`"] for c in docs.columns]
     if not found.where("count > 1").isEmpty():
         return own.dropDuplicates([id_col, key]).select(*columns)
