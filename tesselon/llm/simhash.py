@@ -126,8 +126,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows with equal id and text one stays; rows that share an id but not their text are told apart.
     """
+    return keep_least(docs, _components(docs, id_col, text_col, shingle), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id in found (id, k, component_id) is its component's; of rows with equal id and text one."""
     (key,) = fresh(docs, "tess_key")
-    found = _components(docs, id_col, text_col, shingle).where("id <=> component_id").groupBy("id", "k").count()
+    found = found.where("id <=> component_id").groupBy("id", "k").count()
     kept = found.select(F.col("id").alias("keep_id"), F.col("k").alias("keep_key"), "count")
     own = docs.withColumn(key, text_key(text_col))
     own = own.join(kept.hint("shuffle_hash"), same(own, kept, (id_col, "keep_id"), (key, "keep_key")))

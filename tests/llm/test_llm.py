@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.llm import bpe, embeddings, license, linededup, lm, mixing, ordering, quality, simhash, suffix, tokencount
+from tesselon.llm import bpe, embeddings, license, linededup, lm, mixing, ordering, quality, similar, simhash, suffix, tokencount
 
 TEXT, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 KINDS = "doc_id long, text string, lang string, source string, D string, `key` int"
@@ -59,6 +59,64 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def shingle_sets(texts, size=5):
+    split = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in split]
+
+
+def reachable(sets):
+    """Places reachable over pairs at a Jaccard similarity of 0.8 or more, empty sets being alike."""
+    n = len(sets)
+    near = [[j for j in range(n) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in range(n)]
+    out = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        out.append(seen)
+    return out
+
+
+def planted(groups=12, copies=9):
+    """Texts with copies in which single words are replaced, from none to too many for a near copy."""
+    r = random.Random(8)
+    texts = []
+    for g in range(groups):
+        base = words(60 + 20 * g, 900 + g).split()
+        for c in range(copies):
+            w = list(base)
+            for _ in range(c):
+                w[r.randrange(len(w))] = f"new{g}x{r.randrange(9999)}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    return texts
+
+
+def test_near_copies(spark, docs, none, monkeypatch):
+    texts = [*planted(), None, "", "a b", "A B", "a b c", "a b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    parts = reachable(shingle_sets(texts))
+    want = {i: min(p) for i, p in enumerate(parts)}
+    for block in (similar.BLOCK, 200):  # one tile for each cluster, and many
+        monkeypatch.setattr(similar, "BLOCK", block)
+        assert {r.id: r.component_id for r in similar.near_copies(rows).collect()} == want
+    kept = [r.doc_id for r in similar.keep_one_of_each(rows).collect()]
+    assert sorted(kept) == sorted(set(want.values()))
+    assert similar.near_copies(docs).count() == len(odd_rows()) and similar.keep_one_of_each(none).count() == 0
+
+
+def test_near_copy_of_one_word_goes(spark):
+    import corpus_pipeline
+
+    base = words(120, 77).split()
+    other = [*base[:60], "changed", *base[61:]]
+    rows = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, words(120, 78))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [1, 3]
+
+
 def test_suffix(docs, none):
     for n in (400, 60):
         got = suffix.remove_repeats(docs, length=n, gram=n // 2).collect()
