@@ -243,6 +243,12 @@ def test_lm(spark, docs, none):
     assert lm.score_texts(none, TEXT, P.PATTERN).count() == 0
 
 
+def test_lm_rounds_take_every_training_text_once(docs):
+    takes = [lm.in_round(r, "doc_id", "text", lm.FRACTION).cast("int") for r in range(lm.ROUNDS)]
+    for row in docs.select(sum(takes[1:], takes[0]).alias("n"), lm.held_out("doc_id").alias("out")).collect():
+        assert row.n == (0 if row.out else 1)
+
+
 def test_lm_gradients_and_learning():
     r = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.full(lm.KINDS, 1 / lm.KINDS)).items()}
