@@ -33,10 +33,11 @@ class Tables:
         self.root = f"{shared_dir(spark).rstrip('/')}/tesselon-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """The written rows, in a folder for each value of the columns `by` (the last ones of the result)."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

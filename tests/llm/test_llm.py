@@ -228,7 +228,7 @@ def test_error_bound():
 
 
 def test_lm(spark, docs, none):
-    got = lm.score_texts(docs, TEXT, P.PATTERN, fraction=2, rounds=2).collect()
+    got = lm.score_texts(docs, TEXT, P.PATTERN).collect()
     assert len(got) == len(odd_rows())
     counts = collections.Counter()
     for i, t, *_ in odd_rows():
@@ -244,19 +244,55 @@ def test_lm(spark, docs, none):
 
 
 def test_lm_rounds_take_every_training_text_once(docs):
-    takes = [lm.in_round(r, "doc_id", "text", lm.FRACTION).cast("int") for r in range(lm.ROUNDS)]
-    for row in docs.select(sum(takes[1:], takes[0]).alias("n"), lm.held_out("doc_id").alias("out")).collect():
-        assert row.n == (0 if row.out else 1)
+    for row in docs.select(lm.part_of("doc_id", "text").alias("part"), lm.held_out("doc_id").alias("out")).collect():
+        assert row.part == lm.HELD_OUT if row.out else 0 <= row.part < lm.ROUNDS
 
 
-def test_lm_gradients_and_learning():
+def test_lm_words_keep_their_ids_in_any_company():
+    coder = lm.subwords(TEXT, P.PATTERN)
+    words = ["the", "a\xa0b", "\u3000x", "x\x1cy", "z\xa0", "\xa0\xa0", "'s", "é", "中文", "of"]
+    for w in words:
+        coder.forget()
+        alone = coder.spelled(coder.places([[w.encode()]]))[0].tolist()
+        coder.forget()
+        ids, n = coder.spelled(coder.places([[x.encode() for x in words]]))
+        at = words.index(w)
+        assert ids[n[:at].sum() : n[: at + 1].sum()].tolist() == alone and coder.opens[alone[0]]
+
+
+def some_model(kind=np.float64):
     r = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.full(lm.KINDS, 1 / lm.KINDS)).items()}
+    w = {k: v.astype(kind) for k, v in lm.start_weights().items()}
+    known = lm.Successors(np.ones(lm.KINDS**2), np.ones(lm.KINDS))
     stream = np.tile(r.integers(0, lm.KINDS - 1, 40), 30)
-    x, y, use = lm.windows(stream, 5)
-    assert use.sum() == len(stream)
-    loss = lambda: -lm.log_probability(w, lm.hidden(w, x)[0].reshape(-1, lm.WIDTH)[use.ravel()], y[use]).mean()
-    g = lm.gradients(w, x, y, use)
+    return w, known, lm.Windows(stream, np.array([700, 1, 499]), 5, lm.OVERLAP)
+
+
+def test_lm_windows_use_each_token_once():
+    _, _, windows = some_model()
+    x, y, use = windows.block(slice(None))
+    assert use.sum() == 1200 and (y[use] == windows.y).all() and [x[windows.opens][i, 0] for i in range(3)] == [5, 5, 5]
+
+
+def test_lm_probabilities_sum_to_one():
+    w, known, windows = some_model()
+    x, _, _ = windows.block(slice(0, 2))
+    h = lm.hidden(w, x)[0][:1].repeat(lm.KINDS, axis=0)
+    p = lm.log_probability(w, known, h, np.full(lm.KINDS, x[0, 0]), np.arange(lm.KINDS))
+    assert math.isclose(np.exp(p).sum(), 1, rel_tol=1e-9)
+    kinds = lm.Kinds(np.random.default_rng(2).integers(0, 9, 5000), np.arange(5000) % 3 == 0)
+    assert np.allclose(np.bincount(kinds.of, np.exp(kinds.share), lm.KINDS), 1)
+
+
+def test_lm_gradients_and_learning():
+    w, known, windows = some_model()
+    x, y, use = windows.block(slice(None))
+
+    def loss(w=w):
+        return -lm.log_probability(w, known, lm.hidden(w, x)[0][use.ravel()], x[use], y[use]).mean()
+
+    g, by_place = lm.gradients(w, known, x, y, use)
+    g["embed"] = lm.by_kind(x.ravel(), by_place)
     for k in w:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         w[k][at] += 1e-5
@@ -265,10 +301,20 @@ def test_lm_gradients_and_learning():
         down = loss()
         w[k][at] += 1e-5
         assert math.isclose((up - down) / 2e-5, g[k][at], rel_tol=1e-2, abs_tol=1e-6)
-    adam, before = lm.Adam(w, 0.02), loss()
-    for _ in range(60):
-        adam.step(lm.gradients(w, x, y, use))
-    assert loss() < before / 2
+    single = {k: v.astype(np.float32) for k, v in w.items()}
+    learner, before = lm.Learner(single, known, 0.02), loss()
+    for _ in range(200):
+        learner.step(x, y, use)
+    assert loss(single) < 0.7 * before
+
+
+def test_lm_beats_the_word_counts_on_held_out_texts(spark):
+    """Texts of a few sentences' worth of words in fixed succession: context tells what counts cannot."""
+    r = random.Random(5)
+    pairs = [words(4, 500 + i) for i in range(20)]
+    rows = spark.createDataFrame([(i, " ".join(r.choice(pairs) for _ in range(60))) for i in range(400)], "doc_id long, text string")
+    got = [x for x in lm.score_texts(rows, TEXT, P.PATTERN).collect() if x.held_out]
+    assert got and sum(x.score for x in got) > sum(x.base_score for x in got)
 
 
 def test_licenses(spark, docs, none):
