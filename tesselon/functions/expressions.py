@@ -18,9 +18,27 @@ def tier(conf: Column) -> Column:
     return F.when(conf >= 0.80, "sure").when(conf >= 0.50, "doubtful").otherwise("poor")
 
 
-def bar(value: Column, scale: int = 20) -> Column:
-    """A text bar of full blocks, truncated."""
-    return F.repeat(F.lit("█"), F.floor(value * scale).cast("int"))
+def bar(value: Column, scale: float = 20, most: int | None = None, least: int = 0) -> Column:
+    """A text bar of value * scale full blocks, truncated, within least and most."""
+    n = F.greatest(F.floor(value * scale), F.lit(least))
+    return F.repeat(F.lit("█"), (n if most is None else F.least(n, F.lit(most))).cast("int"))
+
+
+def rescaled(conf: Column, factor: float = 1.5) -> list[Column]:
+    """conf times a factor, to six decimals half to even, and whether that changes it."""
+    value = F.bround(conf * factor, 6)
+    return [value.alias("rescaled"), (value != conf).alias("changed")]
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with separators between thousands."""
+    return F.format_number(n, 0)
+
+
+def overwritten(config: Column, **values: object) -> Column:
+    """A map of settings with some replaced: new ones win."""
+    new = F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, str(v))))
+    return F.map_concat(F.map_filter(config, lambda k, _: ~k.isin(*values)), new)
 
 
 def percent(part: Column, whole: Column) -> Column:

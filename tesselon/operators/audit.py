@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.functions.expressions import percent
+from tesselon.functions.expressions import bar, percent, tier
 
 
-def health(images: DataFrame, lines: DataFrame, classes: int = 150, unknown: int = 120, group: str | None = None) -> DataFrame:
-    """Images, label files, instances, average, invalid ids and share of the unknown class, per group or in all.
+def health(images: DataFrame, files: DataFrame, lines: DataFrame, classes: int = 150, unknown: int = 120, low: int = 10, group: str | None = None) -> DataFrame:
+    """Per group or in all: images, label files, empty ones, instances and their mean per label file, invalid ids,
+    classes without and with under `low` instances, share of the unknown class and whether it exceeds a tenth.
 
-    images carries image_id (and group); lines carries image_id, n_tokens, cls_id. Lines of under
-    five tokens do not count; out-of-range ids count as invalid, not as instances.
+    images: image_id (and group); files: image_id, empty (no line); lines: image_id, n_tokens, cls_id.
+    Lines of under five tokens do not count; out-of-range ids are invalid, not instances. Only with a group
+    do lines meet images, in one join; classes are then counted in one aggregation.
     """
     keys = [group] if group else []
-    ok = F.col("n_tokens") >= 5
-    valid = ok & (F.col("cls_id") >= 0) & (F.col("cls_id") < classes)
-    per = lines.groupBy("image_id").agg(F.count_if(valid).alias("inst"), F.count_if(ok & ~valid).alias("bad"), F.count_if(valid & (F.col("cls_id") == unknown)).alias("unk"))
-    df = images.join(per, "image_id", "left").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_images"), F.count("inst").alias("n_label_files"), F.coalesce(F.sum("inst"), F.lit(0)).alias("n_instances"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("n_invalid"), F.coalesce(F.sum("unk"), F.lit(0)).alias("n_unknown"),
+    of = images.select("image_id", *keys)
+    some = lines.where("n_tokens >= 5").select("image_id", "cls_id")
+    if group:
+        some, files = some.join(of, "image_id"), files.join(of, "image_id")
+    a = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_images"))
+    b = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_label_files"), F.count_if("empty").alias("n_empty"))
+    valid = F.coalesce((F.col("cls_id") >= 0) & (F.col("cls_id") < classes), F.lit(False))
+    total = lambda test, name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name)
+    c = some.groupBy(*keys, "cls_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+        total(valid, "n_instances"), total(~valid, "n_invalid"), total(F.col("cls_id") == unknown, "n_unknown"), F.count_if(valid).alias("n_seen"), F.count_if(valid & (F.col("n") < low)).alias("n_low"),
     )
+    df = a.join(b, keys, "left").join(c, keys, "left") if group else a.crossJoin(b).crossJoin(c)  # a row each without a group
+    df = df.na.fill(0).withColumn("n_zero", classes - F.col("n_seen")).drop("n_seen")
     df = df.withColumns({"avg_per_file": F.col("n_instances") / F.greatest("n_label_files", F.lit(1)), "unknown_pct": percent(F.col("n_unknown"), F.col("n_instances"))})
     return df.withColumn("unknown_warning", F.col("unknown_pct") > 10)
 
@@ -36,7 +44,24 @@ def top(counts: DataFrame, by: str, key: str, k: int) -> DataFrame:
 
 
 def bottom(counts: DataFrame, by: str, key: str, k: int) -> DataFrame:
-    return counts.where(F.col(by) > 0).orderBy(by, key).limit(k)
+    """The k least above 0, shown from the greatest down, ties by key as in top()."""
+    return counts.where(F.col(by) > 0).orderBy(by, F.col(key).desc()).limit(k).orderBy(F.col(by).desc(), key)
+
+
+def with_bars(counts: DataFrame, per: int, most: int | None = None, least: int = 0) -> DataFrame:
+    """A bar of one block for each `per`, between least and most blocks."""
+    return counts.withColumn("bar", bar(F.col("n"), 1 / per, most, least))
+
+
+def first(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first k rows in an order."""
+    return rows.orderBy(*order).limit(k)
+
+
+def detections_by_image(detections: DataFrame, image: str = "image_id", place: str = "place") -> DataFrame:
+    """image, n, found: an image's detections (name, conf, bar, tier) in the model's order. A detector caps them, so they fit a row."""
+    item = F.struct(F.col(place).alias("place"), "name", "conf", bar(F.col("conf")).alias("bar"), tier(F.col("conf")).alias("tier"))
+    return detections.groupBy(image).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("found"))
 
 
 def worst_best(scores: DataFrame, by: str, key: str, worst: int = 20, best: int = 10) -> DataFrame:

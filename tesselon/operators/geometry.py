@@ -42,12 +42,15 @@ def tile_remap(boxes: DataFrame, slot: Column, grid: int = 8, canvas: int = 640)
 
 
 def letterbox_margin(images: DataFrame, target: int = 224, margin: int = 6) -> DataFrame:
-    """new_w, new_h, off_x, off_y, method, status; a side that shrinks to nothing is a reject."""
-    scale = F.lit(target - 2 * margin) / F.greatest("width", "height")
-    df = images.withColumns({"scale": scale, "new_w": (F.col("width") * scale).cast("int"), "new_h": (F.col("height") * scale).cast("int")})
+    """new_w, new_h, off_x, off_y, method, status; a side that shrinks to nothing is a reject.
+
+    An image that has the size already stays as it is, without a margin.
+    """
     same = (F.col("width") == target) & (F.col("height") == target)
+    scale = F.when(same, 1.0).otherwise(F.lit(target - 2 * margin) / F.greatest("width", "height"))
+    df = images.withColumns({"scale": scale, "new_w": (F.col("width") * scale).cast("int"), "new_h": (F.col("height") * scale).cast("int")})
     status = F.when(same, "same").when((F.col("new_w") < 1) | (F.col("new_h") < 1), "reject").otherwise("resize")
-    return df.select("image_id", "new_w", "new_h", *_offsets(target), F.when(F.col("scale") < 1, "area").otherwise("lanczos").alias("method"), status.alias("status"))
+    return df.select("image_id", "new_w", "new_h", *_offsets(target), F.when(same, "none").when(F.col("scale") < 1, "area").otherwise("lanczos").alias("method"), status.alias("status"))
 
 
 def letterbox_fit(images: DataFrame, target: int = 640) -> DataFrame:
@@ -57,6 +60,51 @@ def letterbox_fit(images: DataFrame, target: int = 640) -> DataFrame:
     return images.withColumns({"new_w": side("width"), "new_h": side("height")}).select("image_id", "new_w", "new_h", *_offsets(target))
 
 
+def letterbox_always(images: DataFrame, target: int = 224, margin: int = 6) -> DataFrame:
+    """As with a margin, but images of the size are no exception and none is reduced by area."""
+    scale = F.lit(target - 2 * margin) / F.greatest("width", "height")
+    df = images.withColumns({"new_w": (F.col("width") * scale).cast("int"), "new_h": (F.col("height") * scale).cast("int")})
+    status = F.when((F.col("new_w") < 1) | (F.col("new_h") < 1), "reject").otherwise("resize")
+    return df.select("image_id", "new_w", "new_h", *_offsets(target), F.lit("lanczos").alias("method"), status.alias("status"))
+
+
+def stretch(images: DataFrame, target: int = 224) -> DataFrame:
+    """image_id, new_w, new_h, factors by which sides change: both sides become the target."""
+    return images.select("image_id", F.lit(target).alias("new_w"), F.lit(target).alias("new_h"), (F.lit(target) / F.col("width")).alias("x_factor"), (F.lit(target) / F.col("height")).alias("y_factor"))
+
+
+def content_region(boxes: DataFrame) -> DataFrame:
+    """x1, y1, x2, y2 of content boxes (in images width x height) and what was made of them.
+
+    Content of over 95 % of the image is the whole image (`whole`); under 1 % is too little to be a sign: the
+    whole image again (`fallback`).
+    """
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("width") * F.col("height"))
+    kind = F.when(area > 0.95, "whole").when(area < 0.01, "fallback").otherwise("sign")
+    df = boxes.withColumns({"share": area, "kind": kind})
+    whole = F.col("kind") != "sign"
+    return df.withColumns({"x1": F.when(whole, F.lit(0)).otherwise(F.col("x1")), "y1": F.when(whole, F.lit(0)).otherwise(F.col("y1")), "x2": F.when(whole, F.col("width")).otherwise(F.col("x2")), "y2": F.when(whole, F.col("height")).otherwise(F.col("y2"))})
+
+
+def is_fallback(w: Column, h: Column) -> Column:
+    """Whether a box looks like the answer of a detector that found nothing."""
+    return (w > 0.87) & (h > 0.87)
+
+
+def anchors(size: Column, strides: tuple[int, ...] = (8, 16, 32)) -> Column:
+    """Anchors of a square input: one for each cell of each stride's grid."""
+    return sum((F.floor(size / s) * F.floor(size / s) for s in strides[1:]), F.floor(size / strides[0]) * F.floor(size / strides[0]))
+
+
+def output_fits(channels: Column, found: Column, classes: int, size: Column) -> Column:
+    """Whether a model's output has four channels and one for each class, and the anchors of its input."""
+    return (channels == 4 + classes) & (found == anchors(size))
+
+
+def draw_scale(width: Column) -> Column:
+    return F.when(width <= 224, 3).otherwise(1)
+
+
 def _offsets(target: int) -> list[Column]:
     return [F.floor((target - F.col(c)) / 2).cast("int").alias(o) for c, o in (("new_w", "off_x"), ("new_h", "off_y"))]
 

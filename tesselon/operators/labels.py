@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tesselon.functions.expressions import natural_key
+from tesselon.functions.expressions import bar, natural_key
 
 CLASSES = 150
 
@@ -17,11 +17,55 @@ def parse_lines(lines: DataFrame, rule: str = "exact5") -> DataFrame:
     A token that is not a number gives null instead of an error.
     """
     keep = {"exact5": F.col("n_tokens") == 5, "min5": F.col("n_tokens") >= 5, "nonempty": F.col("n_tokens") > 0}[rule]
-    df = lines.withColumn("tokens", F.filter(F.split(F.trim("line"), "\\s+"), lambda t: t != "")).withColumn("n_tokens", F.size("tokens")).where(keep)
+    df = _tokenised(lines).where(keep)
     token = lambda i: F.get("tokens", F.lit(i))
     return df.withColumns({"cls_id": token(0).try_cast("int")} | {n: token(i + 1).try_cast("double") for i, n in enumerate(("xc", "yc", "bw", "bh"))})
 
 
+def _tokenised(lines: DataFrame) -> DataFrame:
+    """Blanks are made single first, so that lines are cut at a plain blank and no token is empty."""
+    clean = F.trim(F.regexp_replace("line", "\\s+", " "))
+    df = lines.withColumn("tokens", F.split(clean, " "))
+    return df.withColumn("n_tokens", F.when(F.get("tokens", F.lit(0)) == "", 0).otherwise(F.size("tokens")))
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """lines with n_tokens and cls_id only, none left out."""
+    return _tokenised(lines).withColumn("cls_id", F.get("tokens", F.lit(0)).try_cast("int")).drop("tokens", "line")
+
+
+def named(boxes: DataFrame, names: DataFrame, beyond: str = "OUT OF RANGE") -> DataFrame:
+    """boxes with class_name of their cls_id; ids that names (cls_id, class_name; a dimension) lacks get a fixed text."""
+    return boxes.join(names.select("cls_id", "class_name"), "cls_id", "left").withColumn("class_name", F.coalesce("class_name", F.lit(beyond)))
+
+
+def ids_of(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the cls_id of their class_name, null for names that are not in the dimension."""
+    return rows.join(names.select("class_name", "cls_id"), "class_name", "left")
+
+
+def boxes_of_images(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Every image with its boxes; one without a label file or box has one row with null box columns."""
+    return images.join(boxes, "image_id", "left")
+
+
+def same_folder(folders: DataFrame, only: str) -> DataFrame:
+    """Folders of one name, whatever its case; none is an error."""
+    found = folders.where(F.lower("class_name") == only.lower())
+    if found.isEmpty():
+        raise ValueError(f"no folder is named {only}")
+    return found
+
+
+def availability(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """class_name, n, bar for each wanted class (a dimension), 0 where it has no file; no file at all is an error."""
+    n = files.join(wanted.select("class_name"), "class_name", "left_semi").groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
+    out = wanted.select("class_name").distinct().join(n, "class_name", "left").select("class_name", F.coalesce("n", F.lit(0)).alias("n"))
+    if out.where("n > 0").isEmpty():
+        raise ValueError("no file of the wanted classes")
+    return out.withColumn("bar", bar(F.col("n"), 1, 20))
+
+
 def repair_ids(boxes: DataFrame, gap: int = 127) -> DataFrame:
     """Ids from gap on move up by one."""
     return boxes.withColumn("cls_id", F.when(F.col("cls_id") >= gap, F.col("cls_id") + 1).otherwise(F.col("cls_id")))

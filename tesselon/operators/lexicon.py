@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Page headers, page numbers, entries.
-HEADER = "^(Dictionary of Middle Egyptian|(?U)\\w+ – \\w+(, \\w+)*)$"
-NUMBER = "^[0-9]{1,4}$"
-ENTRY = "\\[([^\\[\\]]+)\\]([^\\[\\]{}]*)\\{([^{}]*)\\}"
+#: Page headers, page numbers, entries, variant codes.
+HEADER = "(?U)^(?:Dictionary of Middle Egyptian|[A-Z]\\s*[–\\-]\\s*[A-Z][\\w ,\\-/]+)\\s*$"
+NUMBER = "(?U)^\\d{1,4}\\s*$"
+ENTRY = "(?U)\\[([^\\[\\]]+)\\]\\s*([^{}\\[\\]]*?)\\s*\\{([^{}\\[\\]]+)\\}"
 VARIANT = "^([A-Z][a-z]?[0-9]+)[A-Za-z]$"
 
 
@@ -50,6 +50,34 @@ def routed(found: DataFrame, known: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.withColumn("gardiner_seq_orig", F.when(F.col("clean") & (F.col("n_normalised") == 0), "").otherwise(F.col("orig"))).drop("l", "orig")
 
 
+def totals(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: n_lines, joined_chars, dropped, candidates, clean, quarantined, normalised, unknown_codes.
+
+    lines as in classify_lines; found as routed() gives it. Lines are counted as they come; texts of
+    several documents are joined each on their own.
+    """
+    kinds = classify_lines(lines)
+    text = kinds.where("kind = 'text'").groupBy("doc").agg((F.sum(F.length(F.trim("line"))) + F.count(F.lit(1)) - 1).alias("chars"))
+    a = kinds.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("kind") == "noise").alias("dropped"))
+    b = text.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("joined_chars"))
+    c = found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("quarantined"), F.coalesce(F.sum("n_normalised"), F.lit(0)).alias("normalised"))
+    d = found.where("not clean").select(F.explode(F.split("unknown_codes", " ")).alias("code")).agg(F.countDistinct("code").alias("unknown_codes"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # a row each
+
+
+def first_lines(lines: DataFrame, kind: str, n: int) -> DataFrame:
+    """The first n lines of a kind by document and place."""
+    return classify_lines(lines).where(F.col("kind") == kind).orderBy("doc", "pos").limit(n)
+
+
+def report(total: DataFrame, codes: DataFrame, dropped: DataFrame) -> str:
+    """A text report: totals, the most frequent unknown codes, the first dropped lines. All three are a few rows."""
+    row = total.first()
+    out = [f"{name.replace('_', ' '):<16}: {value:,}" for name, value in row.asDict().items()]
+    out += ["", "Unknown codes:", *(f"  {r['code']:<10} {r['n']:6d}" for r in codes.collect())]
+    return "\n".join([*out, "", "Dropped lines:", *(f"  {r['line']}" for r in dropped.collect())]) + "\n"
+
+
 def correct(codes: DataFrame, sequences: DataFrame, cost: DataFrame) -> DataFrame:
     """seq, fixed: a sequence that is not in the lexicon becomes the likeliest one that differs in one code.
 

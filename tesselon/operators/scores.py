@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,9 +12,9 @@ def class_maxima(scores: DataFrame) -> DataFrame:
 
 
 def distribution(scores: DataFrame) -> DataFrame:
-    """Minimum, maximum and counts above .25, .50 and .80."""
+    """Minimum, maximum, mean (to nine decimals) and counts above .25, .50 and .80."""
     over = [F.count_if(F.col("score") > t).alias(f"over_{int(t * 100)}") for t in (0.25, 0.50, 0.80)]
-    return scores.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("score").alias("n"), *over)
+    return scores.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("score").alias("n"), F.round(F.avg(F.col("score").cast("double")), 9).alias("mean"), *over)
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -35,25 +33,47 @@ def normalised(cells: DataFrame, labels: int) -> DataFrame:
 def nms(detections: DataFrame, iou: float = 0.30, conf: float = 0.25) -> DataFrame:
     """Greedy suppression per image and class: the surest box goes first and drops those that overlap it by more than iou.
 
-    An image's boxes of a class are few (a detector caps them), so they meet in one task.
+    Ties in conf go by corners. An image's boxes of a class are few (a detector caps them), so they are
+    one array, sorted and folded within the row: no Python, and one shuffle by image and class.
     """
+    found = detections.where(F.col("conf") >= conf)
+    keys, corners = ["image_id", "cls_id"], ["x1", "y1", "x2", "y2"]
+    box = F.struct((-F.col("conf")).alias("order"), *corners, "conf")
+    rows = found.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    area = lambda b: F.greatest(b["x2"] - b["x1"], F.lit(0)) * F.greatest(b["y2"] - b["y1"], F.lit(0))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["conf", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")
-        b = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
-        left, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if left[i]:
-                keep.append(i)
-                w = np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0])
-                h = np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])
-                both = np.maximum(w, 0) * np.maximum(h, 0)
-                left &= both <= iou * np.maximum(area[i] + area - both, 1e-12)
-        return rows.iloc[keep]
-
-    df = detections.where(F.col("conf") >= conf)
-    return df.groupBy("image_id", "cls_id").applyInPandas(run, df.schema)
+    def drops(a: Column, b: Column) -> Column:
+        side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0))
+        both = side("x1", "x2") * side("y1", "y2")
+        return both > F.lit(iou) * F.greatest(area(a) + area(b) - both, F.lit(1e-12))
+
+    one = F.slice("boxes", 1, 1)
+    folded = F.aggregate(F.slice("boxes", F.lit(2), F.greatest(F.size("boxes") - 1, F.lit(0))), one, lambda kept, b: F.when(F.exists(kept, lambda k: drops(k, b)), kept).otherwise(F.array_append(kept, b)))
+    kept = rows.select(*keys, F.explode(F.when(F.size("boxes") == 1, F.col("boxes")).otherwise(folded)).alias("b"))
+    return kept.select(*keys, "b.conf", *(f"b.{c}" for c in corners))
+
+
+def content_shares(pixels: DataFrame, key: str, width: int, black: float, least: float = 0.05) -> DataFrame:
+    """key, line (row or column), at, share, for lines with enough pixels above black; pixels: key, pos, value."""
+    bright = F.avg((F.col("value") > black).cast("double")).alias("share")
+    row = pixels.groupBy(key, F.floor(F.col("pos") / width).cast("int").alias("at")).agg(bright).withColumn("line", F.lit("row"))
+    column = pixels.groupBy(key, (F.col("pos") % width).cast("int").alias("at")).agg(bright).withColumn("line", F.lit("column"))
+    return row.unionByName(column).where(F.col("share") >= least)
+
+
+def content_extent(shares: DataFrame, key: str) -> DataFrame:
+    """First and last row and column with content."""
+    return shares.groupBy(key, "line").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+
+
+def mask_score(pixels: DataFrame, key: str) -> DataFrame:
+    """Pixels that a mask of 0 and 255 sets."""
+    return pixels.groupBy(key).agg((F.sum("value") / 255).alias("score"))
+
+
+def as_matrix(cells: DataFrame, labels: list[int], value: str) -> DataFrame:
+    """Cells in wide form: a row for each label, a column for each of the labels given (a dimension)."""
+    return cells.groupBy("row_label").pivot("col_label", labels).agg(F.first(value)).na.fill(0)
 
 
 def border_median(pixels: DataFrame, key: str, size: int) -> DataFrame:

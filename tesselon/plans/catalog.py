@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.functions.expressions import bar, batch_for_device, tier
+from tesselon.functions.expressions import bar, batch_for_device, rescaled, tier
 from tesselon.operators import audit, geometry, labels, lexicon, pairs, scores
+from tesselon.plans.registry import ORACLE_SQL, QUERIES, query
 from tesselon.sources import tables
 
-QUERIES = {}
-ORACLE_SQL = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # Fixed pieces of the SQL side: the adapters as common table expressions.
 BOXES = "boxes as (select l_orderkey as image_id, l_partkey % 155 as cls_id, l_quantity / 51 as xc, (l_suppkey % 97) / 97 as yc, l_discount * 10 as bw, l_tax * 12.5 as bh from lineitem)"
@@ -22,14 +22,8 @@ SCORES = "scores as (select vec_id as anchor, unnest(embedding) as score, genera
 TRUTH = "truth as (select label as row_label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as col_label from embeddings)"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+#: A class counts as low under so many instances here, where the mean is some hundreds.
+LOW = 300
 
 
 def with_size(spark: SparkSession, d: str) -> DataFrame:
@@ -46,24 +40,24 @@ def histogram_zero_filled(spark: SparkSession, d: str) -> DataFrame:
     return labels.zero_filled(tables.boxes(spark, d), 160)
 
 
-@query(f"with {BOXES}, c as (select r.range as cls_id, count(b.cls_id) as n from range(160) r left join boxes b on b.cls_id = r.range and b.image_id % 97 = 0 group by 1) select *, case when n = 0 then 'zero' when n < 10 then 'low' else 'ok' end as level from c")
+@query(f"with {BOXES}, c as (select r.range as cls_id, count(b.cls_id) as n from range(160) r left join boxes b on b.cls_id = r.range group by 1) select *, case when n = 0 then 'zero' when n < 390 then 'low' else 'ok' end as level from c")
 def low_classes(spark: SparkSession, d: str) -> DataFrame:
-    return audit.class_levels(labels.zero_filled(tables.boxes(spark, d).where("image_id % 97 = 0"), 160))
+    return audit.class_levels(labels.zero_filled(tables.boxes(spark, d), 160), 390)
 
 
 def _health_sql(group: str) -> str:
-    g = "case when image_id % 5 = 0 then 'val' else 'train' end as split" if group else "1 as split"
-    sql = f"""with {LINES}, {IMAGES}, p as (
-        select image_id, count(*) filter (where n_tokens >= 5 and cls_id < 150) as inst, count(*) filter (where n_tokens >= 5 and cls_id >= 150) as bad, count(*) filter (where n_tokens >= 5 and cls_id = 120) as unk from label_lines group by image_id),
-        s as (select {g}, inst, bad, unk from images left join p using (image_id)),
-        t as (select split, count(*) as n_images, count(inst) as n_label_files, coalesce(sum(inst), 0)::bigint as n_instances, coalesce(sum(bad), 0)::bigint as n_invalid, coalesce(sum(unk), 0)::bigint as n_unknown from s group by split)
-        select *, n_instances / greatest(n_label_files, 1) as avg_per_file, n_unknown / greatest(n_instances, 1) * 100 as unknown_pct, n_unknown / greatest(n_instances, 1) * 100 > 10 as unknown_warning from t"""
+    of = "image_id, case when image_id % 5 = 0 then 'val' else 'train' end as split" if group else "image_id, 1 as split"
+    sql = f"""with {LINES}, {IMAGES}, i as (select {of} from images), f as (select i.*, s.image_id is null as empty from i left join (select distinct image_id from label_lines) s using (image_id) where s.image_id is not null or i.image_id % 3 <> 0),
+        c as (select split, cls_id, count(*) as n from label_lines join i using (image_id) where n_tokens >= 5 group by all),
+        k as (select split, coalesce(sum(n) filter (where cls_id < 150), 0)::bigint as n_instances, coalesce(sum(n) filter (where cls_id >= 150), 0)::bigint as n_invalid, coalesce(sum(n) filter (where cls_id = 120), 0)::bigint as n_unknown, count(*) filter (where cls_id < 150 and n < {LOW}) as n_low, 150 - count(*) filter (where cls_id < 150) as n_zero from c group by split),
+        a as (select split, count(*) as n_images from i group by split), b as (select split, count(*) as n_label_files, count(*) filter (where empty) as n_empty from f group by split)
+        select *, n_instances / greatest(n_label_files, 1) as avg_per_file, n_unknown / greatest(n_instances, 1) * 100 as unknown_pct, n_unknown / greatest(n_instances, 1) * 100 > 10 as unknown_warning from a join b using (split) join k using (split)"""
     return sql if group else sql.replace("select *, n_inst", "select * exclude (split), n_inst")
 
 
 def _health(spark: SparkSession, d: str, group: str | None) -> DataFrame:
     images = tables.images(spark, d).withColumn("split", F.when(F.col("image_id") % 5 == 0, "val").otherwise("train"))
-    return audit.health(images, labels.parse_lines(tables.label_lines(spark, d), "nonempty"), group=group)
+    return audit.health(images, tables.label_files(spark, d), labels.line_classes(tables.label_lines(spark, d)), low=LOW, group=group)
 
 
 @query(_health_sql(""))
@@ -141,13 +135,8 @@ def tile_remap(spark: SparkSession, d: str) -> DataFrame:
     select mosaic, slot, image_id from s join r using (rank)""")
 def mosaic_plan(spark: SparkSession, d: str) -> DataFrame:
     """Slots of 20 mosaics of 8 x 8, each filled with a random image, with replacement."""
-    images = tables.images(spark, d).select("image_id")
-    n = images.count()
     slots = spark.range(20 * 64).select(F.floor(F.col("id") / 64).alias("mosaic"), (F.col("id") % 64).alias("slot"))
-    digest = F.md5(F.concat_ws(":", F.lit("42"), F.col("mosaic").cast("string"), F.col("slot").cast("string")))
-    slots = slots.withColumn("rank", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % max(n, 1))
-    ranked = images.orderBy("image_id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("image_id long, rank long") if n else images.withColumn("rank", F.lit(0))
-    return slots.join(ranked, "rank").select("mosaic", "slot", "image_id")
+    return pairs.drawn(tables.images(spark, d).select("image_id"), "image_id", slots).select("mosaic", "slot", "image_id")
 
 
 def _join(name: str, how: str, columns: str, sql: str) -> None:
@@ -225,8 +214,8 @@ def prefix_class_match(spark: SparkSession, d: str) -> DataFrame:
     return labels.prefix_class(files, names)
 
 
-@query(f"""with {IMAGES}, s as (select *, 212::double / greatest(width, height) as scale from images), n as (select *, trunc(width * scale)::int as new_w, trunc(height * scale)::int as new_h from s)
-    select image_id, new_w, new_h, floor((224 - new_w) / 2)::int as off_x, floor((224 - new_h) / 2)::int as off_y, case when scale < 1 then 'area' else 'lanczos' end as method,
+@query(f"""with {IMAGES}, s as (select *, case when width = 224 and height = 224 then 1 else 212::double / greatest(width, height) end as scale from images), n as (select *, trunc(width * scale)::int as new_w, trunc(height * scale)::int as new_h from s)
+    select image_id, new_w, new_h, floor((224 - new_w) / 2)::int as off_x, floor((224 - new_h) / 2)::int as off_y, case when width = 224 and height = 224 then 'none' when scale < 1 then 'area' else 'lanczos' end as method,
     case when width = 224 and height = 224 then 'same' when new_w < 1 or new_h < 1 then 'reject' else 'resize' end as status from n""")
 def letterbox_plan_margin(spark: SparkSession, d: str) -> DataFrame:
     return geometry.letterbox_margin(tables.images(spark, d))
@@ -316,9 +305,20 @@ def unknown_codes_top30(spark: SparkSession, d: str) -> DataFrame:
     return audit.top(u.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "n", "code", 30)
 
 
-@query(f"with {ENTRIES} select count(*) as candidates, count(*) filter (where {KNOWN}) as clean, count(*) filter (where not {KNOWN}) as quarantined from e")
+TOTALS = f"""with {ENTRIES}, l as (select count(*) as n_lines, count(*) filter (where k = 'noise') as dropped from (select unnest(case when p_partkey % 3 = 1 then ['number', 'text', 'noise', 'text'] else ['text', 'empty', 'header'] end) as k from part)),
+    j as (select sum(length(translit) + length(translation) + length(codes) + 6)::bigint as joined_chars from e), n as (select unnest(string_split(codes, ' ')) as c from e), u as (select unnest(string_split({UNKNOWN}, ' ')) as code from e where not {KNOWN})
+    select *, (select count(*) from e) as candidates, (select count(*) from e where {KNOWN}) as clean, (select count(*) from e where not {KNOWN}) as quarantined,
+    (select count(*) from n where ends_with(c, 'b') and regexp_extract(c, '[0-9]+')::int <= 40) as normalised, (select count(distinct code) from u) as unknown_codes from l, j"""
+
+
+@query(TOTALS)
 def parse_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("quarantined"))
+    return lexicon.totals(_dictionary(spark, d), _entries(spark, d))
+
+
+@query("select p_partkey as doc, 2 as pos, 'no brackets here' as line, 'noise' as kind from part where p_partkey % 3 = 1 order by 1 limit 15")
+def first_dropped_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.first_lines(_dictionary(spark, d), "noise", 15)
 
 
 @query(f"with {SCORES} select cls::int as cls, max(score) as best from scores group by 1 order by best desc, cls limit 10")
@@ -326,7 +326,7 @@ def score_topk_classes(spark: SparkSession, d: str) -> DataFrame:
     return audit.top(scores.class_maxima(tables.scores(spark, d)), "best", "cls", 10)
 
 
-@query(f"with {SCORES} select min(score) as low, max(score) as high, count(score) as n, count(*) filter (where score > 0.25) as over_25, count(*) filter (where score > 0.5) as over_50, count(*) filter (where score > 0.8::double) as over_80 from scores")
+@query(f"with {SCORES} select min(score) as low, max(score) as high, count(score) as n, round(avg(score::double), 9) as mean, count(*) filter (where score > 0.25) as over_25, count(*) filter (where score > 0.5) as over_50, count(*) filter (where score > 0.8::double) as over_80 from scores")
 def score_distribution(spark: SparkSession, d: str) -> DataFrame:
     return scores.distribution(tables.scores(spark, d))
 
@@ -362,7 +362,7 @@ def worst_best_classes(spark: SparkSession, d: str) -> DataFrame:
     return audit.worst_best(scores.class_maxima(tables.scores(spark, d)), "best", "cls")
 
 
-@query(f"with {SCORES}, m as (select cls::int as cls, max(score) as best from scores group by 1) select * from m where best > 0 order by best, cls limit 10")
+@query(f"with {SCORES}, m as (select cls::int as cls, max(score) as best from scores group by 1) select * from m where best > 0 order by best, cls desc limit 10")
 def bottom_classes(spark: SparkSession, d: str) -> DataFrame:
     return audit.bottom(scores.class_maxima(tables.scores(spark, d)), "best", "cls", 10)
 
@@ -372,15 +372,18 @@ def confidence_tiers(spark: SparkSession, d: str) -> DataFrame:
     return tables.detections(spark, d).groupBy("name", tier(F.col("conf")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {DETECTIONS} select event_id, round(conf * 1.5::double, 6) as rescaled, repeat('█', floor(conf * 20)::int) as bar from detections where conf >= 0.25")
+@query(f"with {DETECTIONS} select event_id, round_even(conf * 1.5::double, 6) as rescaled, round_even(conf * 1.5::double, 6) <> conf as changed, repeat('█', floor(conf * 20)::int) as bar from detections where conf >= 0.25")
 def confidence_bars(spark: SparkSession, d: str) -> DataFrame:
     df = tables.detections(spark, d).where(F.col("conf") >= 0.25)
-    return df.select("event_id", F.round(F.col("conf") * 1.5, 6).alias("rescaled"), bar(F.col("conf")).alias("bar"))
+    return df.select("event_id", *rescaled(F.col("conf")), bar(F.col("conf")).alias("bar"))
+
 
+DEVICE = "c_mktsegment || case c_custkey % 4 when 0 then ' A100-SXM4-40GB' when 1 then ' NVIDIA L4' when 2 then ' Tesla T4' else ' CPU' end"
 
-@query("select c_custkey, case when c_mktsegment like '%A100%' then 128 when c_mktsegment like '%L4%' then 32 when c_mktsegment like '%T4%' then 16 else 8 end as batch from customer")
+
+@query(f"with n as (select c_custkey, {DEVICE} as name from customer) select c_custkey, case when name like '%A100%' then 128 when name like '%L4%' then 32 when name like '%T4%' then 16 else 8 end as batch from n")
 def device_batches(spark: SparkSession, d: str) -> DataFrame:
-    return tables.table(spark, d, "customer").select("c_custkey", batch_for_device(F.col("c_mktsegment")).alias("batch"))
+    return tables.table(spark, d, "customer").select("c_custkey", batch_for_device(F.expr(DEVICE)).alias("batch"))
 
 
 @query("with p as (select vec_id, unnest(embedding) as value, generate_subscripts(embedding, 1) - 1 as pos from embeddings), t as (select vec_id, round(value * 1000)::bigint as value, pos // 8 as r, pos % 8 as c from p), b as (select vec_id, value from t where r in (0, 7) union all select vec_id, value from t where c in (0, 7)) select vec_id, trunc(median(value))::int as median from b group by 1")
@@ -389,8 +392,19 @@ def border_median(spark: SparkSession, d: str) -> DataFrame:
     return scores.border_median(p.select("vec_id", "pos", F.round(F.col("v").cast("double") * 1000).cast("long").alias("value")), "vec_id", 8)
 
 
-@query()
+CONF = "(image_id * 31 + cls_id * 17 + x1) % 101 / 100.0::double"
+INTER = "greatest(least(b.x2, k.x2) - greatest(b.x1, k.x1), 0) * greatest(least(b.y2, k.y2) - greatest(b.y1, k.y1), 0)"
+AREA = "greatest({0}.x2 - {0}.x1, 0) * greatest({0}.y2 - {0}.y1, 0)"
+#: What is left of the boxes `l` once its first is kept.
+REST = f"list_filter(l[2:], lambda b: {INTER} <= 0.3::double * greatest({AREA.format('b')} + {AREA.format('k')} - {INTER}, 1e-12))".replace("k.", "l[1].")
+
+
+@query(f"""with recursive {BOXES}, {IMAGES}, {PIXELS}, g as (select image_id, cls_id % 3 as cls_id, list({{'o': -({CONF}), 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': {CONF}}} order by -({CONF}), x1, y1, x2, y2) as l from pixels where {CONF} >= 0.25 group by all),
+    s as (select image_id, cls_id, l[1] as kept, {REST} as rest from g union all select image_id, cls_id, l[1], {REST} from (select image_id, cls_id, rest as l from s where len(rest) > 0))
+    select image_id, cls_id, kept.conf as conf, kept.x1 as x1, kept.y1 as y1, kept.x2 as x2, kept.y2 as y2 from s""")
 def nms(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy suppression has no plain SQL form; tests hold it against brute force."""
     df = geometry.pixel_boxes(with_size(spark, d)).withColumn("conf", (F.col("image_id") * 31 + F.col("cls_id") * 17 + F.col("x1")) % 101 / 100.0)
     return scores.nms(df.select("image_id", (F.col("cls_id") % 3).alias("cls_id"), "conf", "x1", "y1", "x2", "y2"))
+
+
+from tesselon.plans import dataset  # noqa: E402, F401  registers its queries

@@ -2,18 +2,135 @@
 
 from __future__ import annotations
 
+import io
 import json
+import os
+import re
+import shutil
 import struct
+import uuid
 import zlib
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselon.operators import kernels
+from tesselon.operators.scores import as_matrix
 
-def label_files(boxes: DataFrame, image_col: str = "image_id") -> DataFrame:
-    """image, content: one label text per image, six decimals a value."""
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls_id", "xc", "yc", "bw", "bh")
-    return boxes.groupBy(image_col).agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("content"))
+
+def label_files(boxes: DataFrame, image_col: str = "image_id", order: str = "line_no") -> DataFrame:
+    """image, content: one label text per image, its boxes by the order column, six decimals a value."""
+    line = F.format_string("%d %.6f %.6f %.6f %.6f\n", F.col("cls_id").cast("long"), *(F.col(c).cast("double") for c in ("xc", "yc", "bw", "bh")))
+    lines = boxes.groupBy(image_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("lines"))
+    return lines.select(image_col, F.array_join(F.col("lines.line"), "").alias("content"))
+
+
+def write_files(files: DataFrame, root: str, name: str = "name", content: str = "content") -> int:
+    """One file per row (name, content as text or bytes) below root, a folder that all executors have mounted; the number written.
+
+    Each is written beside its place and moved there, so a task that runs twice does no harm.
+    """
+
+    def write(rows) -> None:
+        for r in rows:
+            path = Path(root) / r[name]
+            path.parent.mkdir(parents=True, exist_ok=True)
+            part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+            data = r[content]
+            part.write_bytes(data.encode("utf-8") if isinstance(data, str) else bytes(data))
+            os.replace(part, path)
+
+    files.select(name, content).foreachPartition(write)
+    return files.count()
+
+
+def apply_plan(plan: DataFrame, move: bool = False) -> None:
+    """Copies or moves src to dst, files that all executors have mounted. A plan that would overwrite is an error before anything happens.
+
+    Renames within one folder need no second pass: a destination that is itself a source still to be moved is refused, too.
+    """
+    twice = plan.groupBy("dst").count().where("count > 1")
+    if not twice.isEmpty():
+        raise FileExistsError(f"planned twice: {twice.first()['dst']}")
+
+    def there(batches):
+        for rows in batches:
+            for dst in rows.column(0).to_pylist():
+                if os.path.exists(dst):
+                    yield pa.RecordBatch.from_arrays([pa.array([dst])], names=["dst"])
+
+    taken = plan.select("dst").mapInArrow(there, "dst string").first()
+    if taken is not None:
+        raise FileExistsError(taken["dst"])
+
+    def act(rows) -> None:
+        for r in rows:
+            Path(r["dst"]).parent.mkdir(parents=True, exist_ok=True)
+            if os.path.exists(r["src"]):  # a move that a lost task has made already
+                (shutil.move if move else shutil.copy2)(r["src"], r["dst"])
+
+    plan.select("src", "dst").foreachPartition(act)
+
+
+def class_lines(classes: DataFrame) -> str:
+    """classes.txt: one name a line in the order of ids. A dimension, so it is collected."""
+    return "".join(f"{r['class_name']}\n" for r in classes.orderBy("class_id").collect())
+
+
+def class_map_json(classes: DataFrame) -> str:
+    """Name to id as JSON, in the order of ids."""
+    return json.dumps({r["class_name"]: r["class_id"] for r in classes.orderBy("class_id").collect()}, ensure_ascii=False, indent=2)
+
+
+def delete_plan(files: DataFrame, keep: Column, path: str = "path") -> DataFrame:
+    """Paths of the files that a predicate does not keep (null counts as not kept)."""
+    return files.where(~F.coalesce(keep, F.lit(False))).select(path)
+
+
+def write_delete_list(plan: DataFrame, path: str) -> None:
+    """The paths of a delete plan as text, one a line, in order."""
+    plan.orderBy(plan.columns[0]).select(F.col(plan.columns[0]).alias("value")).write.mode("errorifexists").text(path)
+
+
+def matrix_csv(cells: DataFrame, labels: list[int], value: str, path: str) -> None:
+    """A confusion matrix in wide form as CSV with a header."""
+    as_matrix(cells, labels, value).orderBy("row_label").coalesce(1).write.mode("errorifexists").csv(path, header=True)
+
+
+def matrix_npy(cells: DataFrame, labels: int, value: str) -> bytes:
+    """A matrix of labels x labels as the bytes of an .npy file; cells that are missing are 0. A dimension squared, so it is collected."""
+    out = np.zeros((labels, labels))
+    for r in cells.select("row_label", "col_label", value).collect():
+        out[r["row_label"], r["col_label"]] = r[value]
+    held = io.BytesIO()
+    np.save(held, out)
+    return held.getvalue()
+
+
+def scores_json(scores: DataFrame, key: str, value: str) -> str:
+    """A dimension's scores as JSON, six decimals."""
+    return json.dumps({r[key]: round(r[value], 6) for r in scores.orderBy(key).collect()}, ensure_ascii=False)
+
+
+def previews(images: DataFrame, boxes: DataFrame, key: str = "path") -> DataFrame:
+    """name, content: a PNG of each image with its boxes (x1, y1, x2, y2, suspicious) drawn on it."""
+    marks = boxes.groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "suspicious")).alias("boxes"))
+    rows = images.select(key, "width", "height", "channels", "data").join(marks, key, "left")
+
+    def run(batches):
+        for batch in batches:
+            names, data = [], []
+            for k, w, h, c, d, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if d is not None and w and h:
+                    img = kernels.draw(kernels.decoded(w, h, c, d), [tuple(b.values()) for b in found or []])
+                    names.append(re.sub(r"\.[^./]*$", "", str(k).rsplit("/", 1)[-1]) + "_bbox.png")
+                    data.append(png(img.shape[1], img.shape[0], img.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["name", "content"])
+
+    return rows.mapInArrow(run, "name string, content binary")
 
 
 def manifest(classes: DataFrame, root: str) -> str:
@@ -36,10 +153,13 @@ def write_csv_pair(clean: DataFrame, quarantine: DataFrame, path: str) -> None:
 
 def png(width: int, height: int, bgr: bytes) -> bytes:
     """An 8-bit RGB PNG of BGR rows."""
-    rows = []
-    for y in range(height):
-        row = bytearray(bgr[3 * width * y : 3 * width * (y + 1)])
-        row[0::3], row[2::3] = row[2::3], row[0::3]
-        rows.append(b"\0" + bytes(row))
+    pixels = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1].reshape(height, -1)
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels], axis=1).tobytes()
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(rows))) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def manifest_yaml(path: str, names: list[str]) -> str:
+    """The manifest in block form; names are quoted where they need it."""
+    quoted = [n if re.fullmatch(r"[A-Za-z_][\w.-]*", n) and n.lower() not in ("true", "false", "null", "yes", "no", "on", "off") else json.dumps(n, ensure_ascii=False) for n in names]
+    return "\n".join([f"path: {json.dumps(path)}", "train: images/train", "val: images/val", f"nc: {len(names)}", "names:", *(f"- {n}" for n in quoted)]) + "\n"

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
+import json
+import re
+import struct
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.operators import kernels
+
 #: File suffixes of images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff", "webp")
 
@@ -51,23 +59,71 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("line_no"), F.concat_ws(" ", *tokens).alias("line"))
 
 
-def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
-    """path, dir, stem, suffix, length of all files below path with one of the suffixes, whatever their case.
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, empty: a label file for each image with lines, and an empty one for two thirds of the others."""
+    some = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id")).distinct().withColumn("some", F.lit(True))
+    both = images(spark, sf_dir).select("image_id").join(some, "image_id", "left").withColumn("empty", F.col("some").isNull())
+    return both.where("not empty or image_id % 3 <> 0").select("image_id", "empty")
+
+
+def class_names(spark: SparkSession, classes: int = 150) -> DataFrame:
+    """cls_id, class_name: a name for each id."""
+    return spark.range(classes).select(F.col("id").alias("cls_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("class_name"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, pos, value: each vector as a gray image of 8 x 8, values 0 to 255."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    return p.select("vec_id", "pos", F.pmod(F.round(F.col("v").cast("double") * 1000).cast("long"), F.lit(256)).alias("value"))
 
-    Lists with the file system itself, so empty files count, which Spark's file sources leave out.
+
+def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, width, height, channels, data: the same as rows of an image table."""
+    value = F.transform("embedding", lambda v: F.pmod(F.round(v.cast("double") * 1000).cast("long"), F.lit(256)))
+    data = F.unhex(F.array_join(F.transform(value, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, recursive: bool = True, globs: tuple[str, ...] = ("*",)) -> DataFrame:
+    """path, dir, stem, suffix, length of the files of path, or below it, with one of the suffixes, whatever their case.
+
+    Spark lists in parallel and tells lengths without reading; it leaves out empty files, so those
+    alone come from a walk of the file system by the driver. Paths that several globs match are there once.
     """
+    found = None
+    for g in globs:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", g).load(path).select("path", "length")
+        found = part if found is None else found.union(part)
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
-    walk = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(root, True)
-    found = []
+    walk = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(root, recursive)
+    empty = []
     while walk.hasNext():
         f = walk.next()
-        found.append((f.getPath().toString(), f.getLen()))
-    df = spark.createDataFrame(found, "path string, length long")
+        if f.getLen() == 0 and any(fnmatch.fnmatchcase(f.getPath().getName(), g) for g in globs):
+            empty.append((f.getPath().toString(), 0))
+    df = found.union(spark.createDataFrame(empty, "path string, length long")).distinct()
     df = df.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*?)(\\.[^./]*)?$", 1).alias("stem"), F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1)).alias("suffix"), "length")
     return df.where(F.col("suffix").isin(*suffixes)).orderBy("path")
 
 
+def class_folders(files: DataFrame) -> DataFrame:
+    """class_name of each folder that holds a file, once; folders without files are not seen."""
+    return files.select(F.regexp_extract("dir", "([^/]*)$", 1).alias("class_name")).distinct()
+
+
+def layout_of(files: DataFrame) -> DataFrame:
+    """One row: whether a listing has images in a split (images/<split>/), in a folder for each class, or flat."""
+    inside = F.bool_or(F.col("path").rlike("/images/"))
+    folders = F.count_distinct("dir")
+    return files.agg(F.when(inside, "split").when(folders > 1, "classes").otherwise("flat").alias("layout"))
+
+
+def label_listing(files: DataFrame) -> DataFrame:
+    """stem, empty of label files, from a listing."""
+    return files.select("stem", (F.col("length") == 0).alias("empty"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, channels, data (BGR rows); unreadable files have null sizes."""
     i = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
@@ -75,6 +131,74 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return i.select(F.col("image.origin").alias("path"), *(F.when(ok, F.col(f"image.{c}")).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))))
 
 
+def colour_images(images: DataFrame) -> DataFrame:
+    """read_images() with three channels in every row: gray repeated, transparency dropped."""
+    return kernels.over_images(images, lambda img, _: img, "image")
+
+
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height from the first bytes of PNG, JPEG, BMP and GIF files; null where they tell nothing.
+
+    Pixels are not decoded; a header may lie behind other blocks, so the whole file is at hand, a row at a time.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            sizes = [header_size(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s and s[k] for s in sizes], pa.int32()) for k in (0, 1))], names=["path", "width", "height"])
+
+    return files.mapInArrow(run, "path string, width int, height int")
+
+
+def header_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height as an image file's header has them."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data[:2] == b"BM" and len(data) >= 26:
+        w, h = struct.unpack("<ii", data[18:26])
+        return w, abs(h)
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return struct.unpack("<HH", data[6:10])
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            kind = data[at + 1]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame: its size is in it
+                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+                return w, h
+            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return None
+
+
+def read_manifest(text: str) -> dict:
+    """A dataset manifest of plain keys and a list of names, in YAML block or flow form or as JSON."""
+    if text.lstrip().startswith("{"):
+        return json.loads(text)
+    value = lambda x: int(x) if re.fullmatch(r"-?\d+", x) else x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x
+    out: dict = {}
+    last = None
+    for line in text.splitlines():
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        if body.startswith("- "):
+            out.setdefault(last, [])
+            out[last] = out[last] or []
+            out[last].append(value(body[2:].strip()))
+            continue
+        key, _, rest = body.partition(":")
+        rest = rest.strip()
+        if line[:1].isspace() and re.fullmatch(r"\d+", key):  # names as a map from id
+            out[last] = out[last] or []
+            out[last].append(value(rest))
+        elif rest.startswith("["):
+            out[key] = [value(x.strip()) for x in rest[1:-1].split(",") if x.strip()]
+        else:
+            out[last := key] = value(rest) if rest else None
+    return out
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """path, stem, line_no, line of text label files."""
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("_metadata.file_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
