@@ -323,7 +323,7 @@ def equalised(x: np.ndarray, limit: float = 2.0, tiles: int = 8) -> np.ndarray:
             n = np.bincount(padded[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
             extra = int(np.maximum(n - most, 0).sum())
             n = np.minimum(n, most) + extra // 256
-            n[: extra % 256] += 1
+            n[np.arange(extra % 256) * 256 // max(1, extra % 256)] += 1  # spread evenly
             maps[i, j] = np.rint(np.cumsum(n) * 255.0 / (th * tw))
     fy, fx = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
     y0, x0 = np.floor(fy).astype(int), np.floor(fx).astype(int)
