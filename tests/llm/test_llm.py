@@ -166,6 +166,57 @@ def test_quality_outliers(spark):
     assert all(got[i] == bool(i % 10) for i in got)
 
 
+def mcd(x, groups, steps=8):
+    """Squared distances by minimum covariance determinant per group in plain numpy, nearest points found by sorting."""
+    d = x.shape[1]
+    floors = np.diag([f * f for f in quality.FLOORS.values()])
+    factor = quality._consistency()
+
+    def fit(points, everyone, widen):
+        n, e = len(points), len(everyone)
+        w = np.concatenate([np.ones(n), np.full(e, quality.PRIOR / e)])
+        both = np.concatenate([points, everyone])
+        m = (both * w[:, None]).sum(0) / w.sum()
+        return m, ((both - m) * w[:, None]).T @ (both - m) / w.sum() * widen + floors
+
+    def away(points, m, c):
+        return np.einsum("ij,jk,ik->i", points - m, np.linalg.inv(c), points - m)
+
+    names = sorted(set(groups))
+    own = {g: x[[k == g for k in groups]] for g in names}
+    found = {g: [fit(p, x, 1.0)] for g, p in own.items()}
+    for g, p in own.items():
+        q = np.median(p, 0)
+        c = np.diag(np.maximum(1.4826 * np.median(abs(p - q), 0), list(quality.FLOORS.values())) ** 2)
+        found[g] += [(q, c), (q, c)]
+    for step in range(steps):
+        near = {g: [p[np.argsort(away(p, *f))[: max(1, math.ceil((0.5 if s == 2 and not step else quality.SHARE) * len(p)))]] for s, f in enumerate(found[g])] for g, p in own.items()}
+        everyone = [np.concatenate([near[g][s] for g in names]) for s in range(3)]
+        found = {g: [fit(near[g][s], everyone[s], factor) for s in range(3)] for g in names}
+    best = {g: min(f, key=lambda e: np.linalg.slogdet(e[1])[1]) for g, f in found.items()}
+    assert d == len(quality.DIMS)
+    return np.array([away(p[None], *best[g])[0] for p, g in zip(x, groups, strict=True)])
+
+
+def test_quality_verdict_equals_plain_mcd(spark):
+    """Groups of 1 to 300 texts, a third of all rows in one; texts with symbols are outliers where their group has few."""
+    r = random.Random(4)
+    rows = []
+    for g, n in enumerate((1, 3, 12, 60, 150, 300)):
+        for i in range(n):
+            ws = words(r.randint(40, 90), 7000 + len(rows)).split()
+            mark = "###$$$" if i and i % 11 == 0 else "#" if g > 2 else ""
+            every = 1 if len(mark) > 1 else 6
+            rows.append((len(rows), " ".join(w + mark if k % every == 0 else w for k, w in enumerate(ws)), f"l{g % 2}", f"s{g}"))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    got = {x.doc_id: x for x in got if not x.base_failed}
+    stats = [[math.log(x.word_chars / x.n_words), math.log(1 + 1000 * x.n_symbols / x.word_chars), 0.0, math.log(1 + 10 * x.n_repeat_words / x.n_words)] for x in got.values()]
+    want = mcd(np.array(stats), [rows[i][3] for i in got])
+    clear = [(x, w) for x, w in zip(got.values(), want, strict=True) if not 0.6 < w / quality.quantile(4e-9) < 1.6]
+    assert all(x.kept == (w <= quality.quantile(4e-9)) for x, w in clear) and len(clear) > 0.9 * len(got)
+    assert 10 < sum(not x.kept for x in got.values()) < 60 and abs(quality.quantile(4e-9) - 45) < 0.2
+
+
 def test_bpe():
     import tiktoken
 
@@ -219,6 +270,25 @@ def test_vectors(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_several_lengths_and_near_the_threshold(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    v = []
+    for n in (2, 3, 16):
+        base = r.standard_normal((6, n))
+        for i in range(60):  # cosines on both sides of the threshold, many within the bounds of quantisation
+            x = base[i % 6] / np.linalg.norm(base[i % 6])
+            away = r.standard_normal(n)
+            away -= (away @ x) * x
+            v.append((len(v), [float(np.float32(e)) for e in x + away / np.linalg.norm(away) * math.tan(math.acos(0.95)) * r.uniform(0.3, 1.1)]))
+    v += [(len(v) + i, v[i][1]) for i in range(5)]
+    want = {i: {j for j, b in v if len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95} - {i} for i, a in v}
+    for block in (embeddings.BLOCK, 7):
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        got = {x.vec_id: x for x in embeddings.near_vectors(spark.createDataFrame(v, "vec_id long, embedding array<float>")).collect()}
+        assert {i: x.n_links for i, x in got.items()} == {i: len(w) for i, w in want.items()}
+        assert all(got[i].component_id == got[j].component_id <= i for i in want for j in want[i])
+
+
 def test_error_bound():
     r = np.random.default_rng(2)
     a = r.standard_normal((300, 32))
@@ -253,13 +323,19 @@ def test_lm_words_keep_their_ids_in_any_company():
     words = ["the", "a\xa0b", "\u3000x", "x\x1cy", "z\xa0", "\xa0\xa0", "'s", "é", "中文", "of"]
     for w in words:
         coder.forget()
-        alone = coder.spelled(coder.places([[w.encode()]]))[0].tolist()
+        alone = coder.spelled(coder.places([w.encode()]))[0].tolist()
         coder.forget()
-        ids, n = coder.spelled(coder.places([[x.encode() for x in words]]))
+        ids, n = coder.spelled(coder.places([x.encode() for x in words]))
         at = words.index(w)
         assert ids[n[:at].sum() : n[: at + 1].sum()].tolist() == alone and coder.opens[alone[0]]
 
 
+def test_lm_words():
+    texts = ["  The cat\t\nsat ", None, "", " \x0b", "É\xa0x A\x1cb"]
+    found, n = lm.words_of(texts)
+    assert found == [b"the", b"cat", b"sat", "É\xa0x".encode(), "a\x1cb".encode()] and n.tolist() == [3, 0, 0, 0, 2]
+
+
 def some_model(kind=np.float64):
     r = np.random.default_rng(1)
     w = {k: v.astype(kind) for k, v in lm.start_weights().items()}
@@ -349,6 +425,45 @@ def test_mixing(spark, none):
     assert mixing.mixing_rates(none, marks.limit(0)).count() == 0
 
 
+def least_squares(x, w, targets, most):
+    """Misses of the best rates, by projected gradient run for long."""
+    r = np.ones(len(x))
+    for _ in range(20000):
+        miss = (x * (w * r)[:, None]).sum(0) / w.sum() - targets
+        r = np.clip(r - x @ miss, 0, most)
+    return (x * (w * r)[:, None]).sum(0) / w.sum() - targets
+
+
+@pytest.mark.parametrize(("targets", "most"), [((0.9, 0.9, 0.0), None), ((0.0, 0.2, 1.2), None), ((0.5, 0.1, 0.4), 1.0), ((0.3, 0.3, 0.3), None)])
+def test_mixing_misses_are_least_squares(spark, targets, most):
+    r = np.random.default_rng(7)
+    p = (r.dirichlet([1, 1, 0.5], 40) * 1000).round().astype(int)
+    p[:, 2] = 1000 - p[:, 0] - p[:, 1]
+    n, copies = r.integers(1, 400, 40), r.integers(1, 3, 40)
+    rows = [(int(i), int(i), int(c), int(m), *map(int, q)) for i, (m, c, q) in enumerate(zip(n, copies, p, strict=True))]
+    members = spark.createDataFrame(rows, "id long, key long, copies long, n_words long, p0 long, p1 long, p2 long")
+    steps = mixing.fit_rates(members, dict(zip(mixing.DOMAINS, targets, strict=True)), mixing.Tables(spark), most)
+    rate = np.array([x[0] for x in members.orderBy("id").select(mixing.replay(steps, most)).collect()])
+    w = (n * copies).astype(float)
+    got = (p / 1000 * (w * rate)[:, None]).sum(0) / w.sum() - targets
+    want = least_squares(p / 1000, w, np.array(targets), np.inf if most is None else most)
+    assert (got**2).sum() <= (want**2).sum() + 1e-6 and rate.min() >= 0
+
+
+def test_mixing_of_repeated_rows_and_clashing_names(spark):
+    rows = [(i, words(30, i) + ["", " | # |", " idiot worthless"][i % 3], "x", 1) for i in range(90)]
+    rows += [rows[2], rows[2], (None, None, None, 0), (200, "", "y", 0), (201, words(5000, 3), "y", 0)]
+    kinds = "doc_id long, text string, domain string, l_id int"
+    marks = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(90)], "doc_id long, quality int, toxic int")
+    many = {r.doc_id: r for r in mixing.mixing_rates(spark.createDataFrame(rows, kinds), marks, targets={"good": 0.6, "poor": 0.3, "toxic": 0.1}).collect()}
+    assert len(many) == 93 and many[2].copies == 3 and many[5].copies == 1
+    once = {r.doc_id: r for r in mixing.mixing_rates(spark.createDataFrame([r for i, r in enumerate(rows) if i not in (90, 91)], kinds), marks, targets={"good": 0.6, "poor": 0.3, "toxic": 0.1}).collect()}
+    assert abs(many[2].p_toxic - once[2].p_toxic) < 0.1 and all(abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 for r in many.values())
+    tokens = sum(r.n_words * r.copies for r in many.values())
+    for d, share in {"good": 0.6, "poor": 0.3, "toxic": 0.1}.items():
+        assert abs(sum(r.rate * r.n_words * r.copies * r[f"p_{d}"] for r in many.values()) / tokens - share) < 1e-3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
