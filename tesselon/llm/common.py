@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,40 +15,59 @@ SPACE = "[ \\t-\\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Only a local master (tests) may go without: it gets a temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesselon-"))
             held = sc._jsc.sc().getCheckpointDir()
         found = held.get()
     return found
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class Tables:
-    """Tables written to the shared folder. They cut lineage and survive lost executors."""
+    """Tables written to the shared folder. They cut lineage and survive lost executors.
+
+    An operator drops those that its result does not read; what the result reads goes with forget(),
+    called by whoever has written the result elsewhere.
+    """
+
+    _left: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tesselon-{uuid.uuid4().hex}"
         self.n = 0
+        self._left.append(self.root)
 
     def write(self, df: DataFrame, *by: str) -> DataFrame:
         """The written rows, in a folder for each value of the columns `by` (the last ones of the result)."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._tesselon_path = path
+        return out
+
+    def drop(self, *written: DataFrame) -> None:
+        """Remove written tables that nothing reads any more."""
+        for df in written:
+            _remove(self.spark, df._tesselon_path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a written table that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            if name.rstrip("/").rsplit("/", 2)[-2] == self.root.rsplit("/", 1)[-1]:
-                path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    @classmethod
+    def forget(cls, spark: SparkSession) -> None:
+        """Remove all tables of this driver. Results that were not written elsewhere are lost."""
+        while cls._left:
+            _remove(spark, cls._left.pop())
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -66,13 +87,21 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def same(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]) -> Column:
-    """Null-safe equality of column pairs, as a join condition that can still be hashed."""
-    out = None
-    for a, b in pairs:
-        c = left[a].eqNullSafe(right[b])
-        out = c if out is None else out & c
-    return out
+def sized_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], rows: int, how: str = "inner") -> DataFrame:
+    """Null-safe join of wide rows with a narrow row for some of them, both unique but for repeated rows.
+
+    rows is the number of rows on the left: there are so many partitions that the narrow side of one
+    fits in memory at any size, so the wide side need not be sorted.
+    """
+    spark = left.sparkSession
+    n = partitions(spark, rows, 50_000)
+    names = fresh(left, *(f"left_{i}" for i in range(len(pairs)))), fresh(right, *(f"right_{i}" for i in range(len(pairs))))
+    sides = []
+    for df, own, at in zip((left, right), names, (0, 1), strict=True):
+        df = df.withColumns({k: F.coalesce(F.col(f"`{p[at]}`").cast("string"), F.lit("\0")) for k, p in zip(own, pairs, strict=True)})
+        sides.append(df.repartition(n, *own))
+    on = [sides[0][a] == sides[1][b] for a, b in zip(*names, strict=True)]
+    return sides[0].join(sides[1].hint("shuffle_hash"), on, how).drop(*names[0], *names[1])
 
 
 def partitions(spark: SparkSession, rows: int, per: int = 500_000) -> int:

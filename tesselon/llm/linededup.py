@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh, same, text_key
+from .common import Tables, fresh, sized_join, text_key
 from .ordering import runs
 
 WINDOW = 3
@@ -50,7 +50,7 @@ def _without(lines: bytes, starts: list[int]) -> tuple[bytes, int, int]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, text replaced by what is kept, then n_lines, n_removed and kept_sha256.
 
-    Lines end at \\n. A null text stays null (0 lines) and an empty one is one blank line. Texts of
+    Lines end at \\n. A null text stays null and counts as one blank line, as an empty one does. All-blank windows are left alone. Texts of
     fewer than three lines stay as they are. Documents are ordered by id (an integer; null first),
     then by a hash of the text. Rows equal in id and text are one document: each keeps what it keeps.
     """
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = own.select(F.coalesce(text_col, F.lit("")), doc, key).mapInArrow(_windows, "h1 long, h2 long, doc long, key long, line long")
     found = runs(tables.write(rows), ["h1"], ["h2"], ["doc", "key", "line"], tables).where("later")
     by_doc = found.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_set("line")).alias(starts))
-    joined = own.join(by_doc.hint("shuffle_hash"), same(own, by_doc, (doc, "d"), (key, "k")), "left").select(*(own[f"`{c}`"] for c in docs.columns), starts)
+    joined = sized_join(own, by_doc, [(doc, "d"), (key, "k")], docs.count(), "left").select(*(own[f"`{c}`"] for c in docs.columns), starts)
     schema = joined.drop(starts).schema.add(n_lines, "long").add(n_removed, "long").add(sha, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts, counts, removed, digests = [], [], [], []
             for text, where in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 text, where = text.as_py(), where.as_py()
-                kept, n, m = _without(text.encode("utf-8"), where or []) if text is not None else (b"", 0, 0)
+                kept, n, m = _without(text.encode("utf-8"), where or []) if text is not None else (b"", 1, 0)
                 texts.append(None if text is None else kept.decode("utf-8"))
                 counts.append(n)
                 removed.append(m)

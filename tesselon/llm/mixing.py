@@ -3,9 +3,11 @@
 A naive Bayes classifier over the presence of words, fitted on a bounded sample of the labelled
 rows, gives each document's posterior over domains. Rates r >= 0 (optionally bounded above) are
 then fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior,
-match the targets: projected gradient steps on the weighted least squares, from rate 1. A
-gradient step depends on a document only through its posterior, held in whole thousandths, so
-each step is one small sum over posteriors, and a document's rate replays the steps. Only
+match the targets with the least squares of the misses: projected gradient from rate 1, in the metric
+that weighs documents by their tokens, so that a document's gradient depends on its posterior alone
+and projection is clipping. Step lengths are those of Barzilai and Borwein, with a fall back on the
+safe length 1. Posteriors are held in whole thousandths that add up to 1, so a step is one small sum
+over the different posteriors, and a document's rate replays the steps. Only
 DataFrame functions touch rows; the driver holds a few numbers per domain.
 """
 
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Tables, fresh
+from .common import SPACE, Tables, fresh, sized_join
 
 DOMAINS = ("good", "poor", "toxic")
 #: Bounds of the fitted classifier: labelled rows used, words used.
@@ -39,9 +41,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, tables: Tables, id_col: s
     Uses the `sample` labelled rows of lowest hashed id; keeps the `features` words, seen in 4 of
     them or more, that tell the domains apart best. Without labelled rows: no words, equal priors.
     """
-    chosen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = labels.select(F.col(id_col).alias("l_id"), "quality", "toxic").where("l_id is not null").groupBy("l_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id").limit(sample).select("l_id", label_domain().alias("domain"))
-    texts = tables.write(docs.join(chosen, F.col(id_col) == F.col("l_id")).select("domain", _words(f"`{text_col}`").alias("words")))
+    own = docs.select(F.col(id_col).alias("d_id"), _words(f"`{text_col}`").alias("words"))
+    texts = tables.write(own.join(chosen, F.col("d_id") == F.col("l_id")).select("domain", "words"))
     sizes = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     counts = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c{i}") for i, d in enumerate(DOMAINS)]
@@ -62,74 +65,80 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, tables: Tables, id_col: s
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], tables: Tables, id_col: str = "doc_id", text_col: str = "text", temper: float = 1.0) -> DataFrame:
-    """id, n_words, p0, p1, ... (whole thousandths, summing to about 1000). The model has FEATURES words at most, so it is broadcast."""
-    scores = [F.sum(f"w{i}").alias(f"z{i}") for i in range(len(DOMAINS))]
+    """id, key (text hash), copies, n_words, p0, p1, ... (whole thousandths, summing to 1000).
+
+    Rows equal in id and text are one row with their number as copies. The model has FEATURES words at most, so it is broadcast.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.expr(f"size(array_remove(split(coalesce(`{text_col}`, ''), '{SPACE}+'), ''))").cast("long").alias("n_words"), _words(f"`{text_col}`").alias("words"))
-    hits = rows.select("id", "key", "n_words", F.explode_outer("words").alias("word")).join(F.broadcast(model), "word", "left")
-    z = hits.groupBy("id", "key", "n_words").agg(*scores)
-    raw = [F.exp(F.least(F.greatest((F.coalesce(f"z{i}", F.lit(0.0)) + F.lit(p)) * temper, F.lit(-60.0)), F.lit(60.0))) for i, p in enumerate(prior)]
+    # no word is empty: the empty one counts the copies
+    hits = rows.select("id", "key", "n_words", F.explode(F.array_append("words", F.lit(""))).alias("word")).join(F.broadcast(model), "word", "left")
+    scores = [F.sum(f"w{i}").alias(f"z{i}") for i in range(len(DOMAINS))]
+    z = hits.groupBy("id", "key", "n_words").agg(F.count_if(F.col("word") == "").alias("copies"), *scores)
+    raw = [F.exp(F.least(F.greatest((F.coalesce(f"z{i}", F.lit(0.0)) / F.col("copies") + F.lit(p)) * temper, F.lit(-60.0)), F.lit(60.0))) for i, p in enumerate(prior)]
     z = z.withColumns({f"e{i}": e for i, e in enumerate(raw)})
     whole = sum((F.col(f"e{i}") for i in range(1, len(DOMAINS))), F.col("e0"))
-    return tables.write(z.select("id", "key", "n_words", *(F.round(F.col(f"e{i}") / whole * GRID).cast("long").alias(f"p{i}") for i in range(len(DOMAINS)))))
+    left = F.lit(GRID).cast("long")
+    for i in range(len(DOMAINS) - 1):
+        z = z.withColumn(f"p{i}", F.least(left, F.round(F.col(f"e{i}") / whole * GRID).cast("long")))
+        left = left - F.col(f"p{i}")
+    z = z.withColumn(f"p{len(DOMAINS) - 1}", left)
+    return tables.write(z.select("id", "key", "copies", "n_words", *(f"p{i}" for i in range(len(DOMAINS)))))
 
 
-def replay(steps: list[list[float]], most: float | None) -> Column:
-    """A document's rate after gradient steps, each a weight per domain."""
+def replay(steps: list[list[float]], most: float | None, back: int = 0) -> Column:
+    """A document's rate after all projected steps but the last `back`, each a weight per domain."""
+    steps = steps[: len(steps) - back]
     moves = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps)) if steps else F.expr("cast(array() as array<array<double>>)")
 
     def step(rate: Column, g: Column) -> Column:
         moved = F.greatest(F.lit(0.0), rate - sum((g[i] * F.col(f"p{i}") / GRID for i in range(1, len(DOMAINS))), g[0] * F.col("p0") / GRID))
         return moved if most is None else F.least(F.lit(float(most)), moved)
 
-    return F.aggregate(moves, F.lit(1.0), step)
-
+    return F.aggregate(moves, F.lit(1.0 if most is None else min(1.0, float(most))), step)
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Solution of a few linear equations, the matrix symmetric and positive definite."""
-    n = len(right)
-    rows = [[*matrix[i], right[i]] for i in range(n)]
-    for i in range(n):
-        for k in range(i + 1, n):
-            f = rows[k][i] / rows[i][i]
-            rows[k] = [x - f * y for x, y in zip(rows[k], rows[i], strict=True)]
-    for i in reversed(range(n)):
-        rows[i][n] = (rows[i][n] - sum(rows[i][k] * rows[k][n] for k in range(i + 1, n))) / rows[i][i]
-    return [r[n] for r in rows]
 
+def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 200, tolerance: float = 1e-5) -> list[list[float]]:
+    """Projected gradient steps after which the squared misses of the targets (shares of all tokens) are least.
 
-def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """Gradient steps after which expected tokens per domain match the targets (shares of all tokens).
-
-    The gradient of the squared misses is scaled by each document's tokens and by the domains'
-    second moments over the documents whose rate can still move; each step is followed by
-    projection onto the allowed rates. Ends when every domain is within `tolerance` of all tokens,
-    when bounds leave nothing to gain, or after `rounds`.
+    Ends when every domain is within `tolerance` of its target, when the projected gradient is
+    shorter than `tolerance` (no allowed change of rates gains), or after `rounds` sums over the posteriors.
     """
-    p = [f"p{i}" for i in range(len(DOMAINS))]
-    d = range(len(p))
-    cells = tables.write(members.where("n_words > 0").groupBy(*p).agg(F.sum("n_words").alias("w")))
-    total = float(cells.agg(F.sum("w").alias("all_w")).first()["all_w"] or 0)
+    d = range(len(DOMAINS))
+    cells = tables.write(members.where("n_words > 0").groupBy(*(f"p{i}" for i in d)).agg(F.sum(F.col("n_words") * F.col("copies")).cast("double").alias("w")))
+    total = cells.agg(F.sum("w").alias("all_w")).first()["all_w"] or 0.0
     if not total:
         return []
+
+    def look(steps: list[list[float]]) -> tuple[list[float], float]:
+        """Misses after these steps, and the length of the last one."""
+        now = cells.withColumns({"rate": replay(steps, most), "before": replay(steps, most, 1) if steps else F.lit(0.0)})
+        r = now.agg(*(F.sum(F.col("w") * F.col(f"p{i}") / GRID * F.col("rate")).alias(f"sum_{i}") for i in d), F.sum(F.col("w") * F.pow(F.col("rate") - F.col("before"), 2)).alias("moved")).first()
+        return [r[f"sum_{i}"] / total - targets[n] for i, n in enumerate(DOMAINS)], math.sqrt(r["moved"] / total)
+
     steps: list[list[float]] = []
-    before = None
+    miss, _ = look(steps)
+    length, losses = 1.0, [sum(m * m for m in miss)]
     for _ in range(rounds):
-        rate = cells.withColumn("rate", replay(steps, most))
-        inside = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
-        free = F.when(inside | F.lit(not steps), F.col("w")).otherwise(F.col("w") * 0.5)
-        x = [F.col(c) / GRID for c in p]
-        now = rate.agg(*(F.sum(F.col("w") * x[i] * F.col("rate")).alias(f"sum_{i}") for i in d), *(F.sum(free * x[i] * x[j]).alias(f"m_{i}{j}") for i in d for j in d)).first()
-        miss = [now[f"sum_{i}"] / total - targets[n] for i, n in enumerate(DOMAINS)]
-        if max(map(abs, miss)) < tolerance or before and max(abs(a - b) for a, b in zip(miss, before, strict=True)) < tolerance / 100:
+        if max(map(abs, miss)) < tolerance:
+            break
+        tried = [*steps, [length * m for m in miss]]
+        then, moved = look(tried)
+        if length > 1 and sum(m * m for m in then) > max(losses[-5:]):
+            length = 1.0  # never longer than the inverse of the greatest curvature: this one gains
+            continue
+        steps = tried
+        if moved / length < tolerance:
             break
-        before = miss
-        moment = [[now[f"m_{i}{j}"] / total + (1e-4 if i == j else 0.0) for j in d] for i in d]
-        steps.append(_solve(moment, miss))
+        bend = sum((a - b) ** 2 for a, b in zip(then, miss, strict=True))
+        losses.append(sum(m * m for m in then))
+        length = min(max(moved * moved / bend, 1.0), 1e4) if bend else 1e4
+        miss = then
+    tables.drop(cells)
     return steps
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, relative: dict[str, float] | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per different id and text of docs: id, key (text hash), n_words, posteriors, rate.
+    """One row per different id and text of docs: id, key (text hash), copies, n_words, posteriors, rate.
 
     targets: share of all tokens wanted for each domain; relative: the same as a multiple of the
     domain's expected share now. Null and empty texts have no words: the prior is their
@@ -139,11 +148,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     model, prior = fit_classifier(docs, labels, tables, id_col, text_col)
     members = posteriors(docs, model, prior, tables, id_col, text_col)
     if targets is None:
-        sums = members.agg(F.sum("n_words").alias("w"), *(F.sum(F.col("n_words") * F.col(f"p{i}") / GRID).alias(d) for i, d in enumerate(DOMAINS))).first()
+        tokens = F.col("n_words") * F.col("copies")
+        sums = members.agg(F.sum(tokens).alias("w"), *(F.sum(tokens * F.col(f"p{i}") / GRID).alias(d) for i, d in enumerate(DOMAINS))).first()
         targets = {d: (relative or {}).get(d, 1.0) * (sums[d] or 0.0) / (sums["w"] or 1) for d in DOMAINS}
     steps = fit_rates(members, targets, tables, most)
     shown = [(F.col(f"p{i}") / GRID).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return members.select(F.col("id").alias(id_col), "key", "n_words", *shown, replay(steps, most).alias("rate"))
+    return members.select(F.col("id").alias(id_col), "key", "copies", "n_words", *shown, replay(steps, most).alias("rate"))
 
 
 def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,6 +162,6 @@ def draw(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: st
     u = F.pmod(F.xxhash64(F.coalesce(F.col("r_id").cast("string"), F.lit("")), "r_key", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = rates.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), "rate").select("r_id", "r_key", F.floor(F.col("rate") + u).cast("int").alias(copies)).where(F.col(copies) > 0)
     own = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    joined = own.join(some.hint("shuffle_hash"), own[id_col].eqNullSafe(some["r_id"]) & (own[key] == some["r_key"]))
+    joined = sized_join(own, some, [(id_col, "r_id"), (key, "r_key")], docs.count())
     columns = [own[f"`{c}`"] for c in docs.columns]
     return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(f"`{c}`" for c in docs.columns))

@@ -4,8 +4,8 @@ Rows stand for suffixes (or other sequences) by 64-bit words: leading tokens fir
 of what follows. Splitters sampled by Spark's range partitioner deal the rows out by these words
 and, among equal ones, by where they start, so that copies of one text spread over buckets too.
 Each bucket is sorted by multikey quicksort, word by word, and equal neighbours are compared.
-Runs that go on in the next bucket show in the rows at the edges: two rows a bucket, resolved
-once all buckets are written.
+Runs that go on in the next bucket show in the rows at the edges, three a bucket at most: once all
+buckets are written, these are aggregated by key, which tells what each is part of.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,48 +97,27 @@ def runs(rows: DataFrame, wide: list[str], narrow: list[str], start: list[str],
         edge[last[0]] |= 4  # the first start of the bucket's last run
         keep = np.flatnonzero(again | (edge > 0))
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c[keep]) for c in columns), pa.array(again[keep]), pa.array(equal[keep]), pa.array(later[keep]), pa.array(ask[keep]), pa.array(edge[keep]), pa.array(np.full(len(keep), TaskContext.get().partitionId(), np.int32))],
-            names=[*keys, "again", "equal", "later", "ask", "edge", "bucket"],
+            [*(pa.array(c[keep]) for c in columns), pa.array(again[keep]), pa.array(equal[keep]), pa.array(later[keep]), pa.array(ask[keep]), pa.array(edge[keep])],
+            names=[*keys, "again", "equal", "later", "ask", "edge"],
         )
 
     kinds = ", ".join(f"{k} long" for k in keys)
-    out = f"{kinds}, again boolean, equal boolean, later boolean, ask boolean, edge int, bucket int"
+    out = f"{kinds}, again boolean, equal boolean, later boolean, ask boolean, edge int"
     done = tables.write(rows.select(*keys).repartitionByRange(n, *keys).mapInArrow(bucket, out))
-    edges = sorted(done.where("edge > 0").collect(), key=lambda r: (r["bucket"], r["edge"] != 1 and r["edge"] & 1 == 0, r["edge"] & 2))
-    fixed = _edges(edges, keys, n_wide, n_key)
+    tables.drop(rows)
     inner = done.where("edge = 0").select(*keys, "equal", "later", "ask")
-    return inner.union(spark.createDataFrame(fixed, inner.schema).coalesce(1)) if fixed else inner
-
-
-def _edges(edges: list, keys: list[str], n_wide: int, n_key: int) -> list[tuple]:
-    """What the rows at the buckets' edges are once the neighbouring buckets are known: at most three a bucket."""
-    buckets: dict[int, list] = {}
-    for r in edges:
-        buckets.setdefault(r["bucket"], []).append(r)
-    order = sorted(buckets)
-    ends = {b: (next(r for r in buckets[b] if r["edge"] & 1), next(r for r in buckets[b] if r["edge"] & 2), next(r for r in buckets[b] if r["edge"] & 4)) for b in order}
-    out, began = [], None
-    for i, b in enumerate(order):
-        first, last, opening = ends[b]
-        before = ends[order[i - 1]][1] if i else None
-        after = ends[order[i + 1]][0] if i + 1 < len(order) else None
-        carried = before is not None and tuple(before)[:n_key] == tuple(first)[:n_key]
-        origin = began if carried else tuple(first)[n_key : len(keys)]
-        for r in buckets[b]:
-            k = tuple(r)
-            again, equal, later = r["again"], r["equal"], r["later"]
-            if r["edge"] & 1 and before is not None:
-                again |= tuple(before)[:n_wide] == k[:n_wide]
-                equal |= carried
-            if r["edge"] & 2 and after is not None:
-                again |= tuple(after)[:n_wide] == k[:n_wide]
-                equal |= tuple(after)[:n_key] == k[:n_key]
-            if carried and k[:n_key] == tuple(first)[:n_key]:
-                later = k[n_key : len(keys)] != origin
-            if again:
-                out.append((*k[: len(keys)], equal, later, True))
-        if tuple(last)[:n_key] == tuple(first)[:n_key]:
-            began = origin
-        else:
-            began = tuple(opening)[n_key : len(keys)]
-    return out
+    return inner.union(_edges(done.where("edge > 0"), keys, n_wide, n_key).select(*inner.columns))
+
+
+def _edges(edges: DataFrame, keys: list[str], n_wide: int, n_key: int) -> DataFrame:
+    """The rows at the buckets' edges that occur again, seen over all buckets.
+
+    A run that lies in several buckets has an edge row in each, and the first row of its last run is
+    an edge row of every bucket: so the run's first start is the least among its edge rows.
+    """
+    place = F.struct(*keys[n_key:])
+    wide = edges.groupBy(*(F.col(k).alias(f"w_{k}") for k in keys[:n_wide])).agg((F.count(F.lit(1)) > 1).alias("w_again"))
+    key = edges.groupBy(*(F.col(k).alias(f"k_{k}") for k in keys[:n_key])).agg((F.count(F.lit(1)) > 1).alias("k_equal"), F.min(place).alias("k_first"))
+    found = edges.join(wide, [F.col(k) == F.col(f"w_{k}") for k in keys[:n_wide]]).join(key, [F.col(k) == F.col(f"k_{k}") for k in keys[:n_key]])
+    found = found.where("again or w_again")
+    return found.select(*keys, (F.col("equal") | F.col("k_equal")).alias("equal"), (F.col("later") | (place > F.col("k_first"))).alias("later"), F.lit(True).alias("ask"))

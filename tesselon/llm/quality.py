@@ -2,13 +2,16 @@
 
 Everything is DataFrame expressions. Four transformed statistics per text (mean word length,
 symbol share, share of repeated lines, share of repeated words) are held as whole 1/1024ths, so
-sums are exact and do not depend on the order of rows. Per language and source, two starts (median and
-MAD; mean and covariance) are each improved by concentration steps: squared Mahalanobis
+sums are exact and do not depend on the order of rows. Per language and source, three starts (mean and
+covariance; medians and MAD; the half nearest the medians) are each improved by concentration steps: squared Mahalanobis
 distances are binned, the bins that hold the nearest 75 % of the texts give the next mean and
-covariance. One aggregation by group, start and bin does a step, with partial sums before the
-shuffle, so a group that holds most rows costs no more than others. The start whose covariance has
-the smaller determinant wins. Groups with fewer than `small` texts are judged by all texts'
-estimate. Texts with a distance beyond `cutoff` are rejected.
+covariance. The start whose covariance has the smaller determinant wins. Every estimate also counts PRIOR
+texts that are spread as the nearest texts of all groups together: it rules the estimate of a group of a few texts and
+vanishes in that of a large one, by one formula at every size. Texts beyond the distance that `tail` of
+normal texts would exceed are rejected.
+
+Rows meet only in sums by group and bin and in counts by group and value, both summed before the shuffle, so
+a group that holds most rows costs no more than others. Medians are taken over the counts by value.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, Tables, text_key
@@ -26,6 +30,12 @@ SCALE = 1024
 DIMS = list(FLOORS)
 PAIRS = [(a, b) for a in range(len(DIMS)) for b in range(a, len(DIMS))]
 SHARE = 0.75
+#: Texts of all groups that each group's estimate counts besides its own.
+PRIOR = 50.0
+#: Values of a statistic that medians tell apart: 1024ths taken together.
+COARSE = 8
+#: Rows of a table of groups up to which it is broadcast.
+FEW = 100_000
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,13 +78,19 @@ def _chi_square(x: float, dims: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(dims // 2))
 
 
-def _consistency() -> float:
-    """Factor by which the covariance of the nearest SHARE of normal points is too small."""
-    low, high = 0.0, 100.0
+def quantile(tail: float) -> float:
+    """The squared distance that a share `tail` of normal points exceeds."""
+    low, high = 0.0, 400.0
+    over = lambda x: math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(len(DIMS) // 2))
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if _chi_square(mid, len(DIMS)) < SHARE else (low, mid)
-    return SHARE / _chi_square(low, len(DIMS) + 2)
+        low, high = (mid, high) if over(mid) > tail else (low, mid)
+    return low
+
+
+def _consistency() -> float:
+    """Factor by which the covariance of the nearest SHARE of normal points is too small."""
+    return SHARE / _chi_square(quantile(1 - SHARE), len(DIMS) + 2)
 
 
 def _estimate(sums: DataFrame, widen: float) -> DataFrame:
@@ -110,51 +126,94 @@ def _sums(prefix: list[Column]) -> list[Column]:
     return prefix + out + [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s{i}{j}") for i, j in PAIRS]
 
 
-def minimum_covariance(stats: DataFrame, tables: Tables, steps: int = 3) -> DataFrame:
-    """g_lang, g_source, mean and Cholesky factor for each group of stats (g_lang, g_source, x_...)."""
-    group = ["g_lang", "g_source"]
-    all_sums = [F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(len(DIMS))), *(f"s{i}{j}" for i, j in PAIRS)]]
-    plain = _estimate(stats.groupBy(*group).agg(*_sums([])).withColumn("start", F.lit(0)), 1.0)
-    medians = stats.groupBy(*group).agg(*(F.expr(f"percentile({x}, 0.5)").alias(f"q{i}") for i, x in enumerate(DIMS)))
-    away = stats.join(medians, group).groupBy(*group, *(f"q{i}" for i in range(len(DIMS)))).agg(*(F.expr(f"percentile(abs({x} - q{i}), 0.5)").alias(f"d{i}") for i, x in enumerate(DIMS)))
-    robust = {f"m{i}": F.col(f"q{i}") / SCALE for i in range(len(DIMS))}
-    robust |= {f"c{i}{j}": F.greatest(F.col(f"d{i}") * 1.4826 / SCALE, F.lit(FLOORS[DIMS[i]])) if i == j else F.lit(0.0) for j in range(len(DIMS)) for i in range(j, len(DIMS))}
-    now = plain.unionByName(away.withColumns(robust).withColumns({"start": F.lit(1), "logdet": F.lit(0.0)}).select(*plain.columns))
-    now = tables.write(now)
-    for _ in range(steps):
-        near = stats.join(now, group).withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8).cast("int"))
-        bins = near.groupBy(*group, "start", "bin").agg(*_sums([])).withColumn("up_to", F.expr("sum(n) over (partition by g_lang, g_source, start order by bin)")).withColumn("total", F.expr("sum(n) over (partition by g_lang, g_source, start)"))
-        inner = bins.where(f"up_to - n < {SHARE} * total").groupBy(*group, "start").agg(*all_sums)
-        now = tables.write(_estimate(inner, _consistency()))
-    best = now.groupBy(*group).agg(F.expr("min_by(start, struct(logdet, start))").alias("start"))
-    return now.join(best, [*group, "start"]).drop("start", "logdet")
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 45.0, small: int = 50) -> DataFrame:
+def _few(groups: DataFrame, tables: Tables) -> DataFrame:
+    """A written table of groups, to be broadcast if it is small."""
+    groups = tables.write(groups)
+    return F.broadcast(groups) if groups.count() <= FEW else groups
+
+
+GROUP = ["g_lang", "g_source"]
+
+
+def _medians(counts: DataFrame) -> DataFrame:
+    """value: the lower median of each group's statistic, from counts n by value."""
+    by = [*GROUP, "dim"]
+    ranked = counts.withColumns({"up_to": F.sum("n").over(W.partitionBy(*by).orderBy("value")), "total": F.sum("n").over(W.partitionBy(*by))})
+    return ranked.where("2 * up_to >= total").groupBy(*by).agg(F.min("value").alias("value"))
+
+
+def _robust_start(stats: DataFrame, tables: Tables) -> DataFrame:
+    """Medians and, as a diagonal covariance, deviations from them."""
+    by = [*GROUP, "dim"]
+    values = stats.select(*GROUP, F.posexplode(F.array(*(F.floor(F.col(x) / COARSE) for x in DIMS))).alias("dim", "value"))
+    counts = tables.write(values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
+    middle = tables.write(_medians(counts).withColumnRenamed("value", "q"))
+    away = counts.join(middle, by).groupBy(*by, F.abs(F.col("value") - F.col("q")).alias("value")).agg(F.sum("n").alias("n"))
+    both = middle.join(_medians(away).withColumnRenamed("value", "away"), by)
+    at = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c)))
+    d = range(len(DIMS))
+    rows = both.groupBy(*GROUP).agg(*((at("q", i) + 0.5).alias(f"q{i}") for i in d), *(at("away", i).alias(f"d{i}") for i in d))
+    out = {f"m{i}": F.col(f"q{i}") * COARSE / SCALE for i in d}
+    out |= {f"c{i}{j}": F.greatest(F.col(f"d{i}") * 1.4826 * COARSE / SCALE, F.lit(FLOORS[DIMS[i]])) if i == j else F.lit(0.0) for j in d for i in range(j, len(DIMS))}
+    return rows.withColumns(out | {"logdet": F.lit(0.0)})
+
+
+def _with_prior(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Sums of each group and start, with PRIOR texts spread as those of all groups."""
+    everyone = sums.groupBy(F.col("start").alias("e_start")).agg(*(F.sum(c).alias(f"e_{c}") for c in names))
+    both = sums.join(F.broadcast(everyone), F.col("start") == F.col("e_start"))  # a row for each start
+    return both.select(*GROUP, "start", *((F.col(c) + F.col(f"e_{c}") * (PRIOR / F.col("e_n"))).alias(c) for c in names))
+
+
+def minimum_covariance(stats: DataFrame, tables: Tables, steps: int = 8) -> DataFrame:
+    """g_lang, g_source, mean and Cholesky factor for each group of stats (g_lang, g_source, x_...).
+
+    Steps end when no determinant changes by more than a millionth, or after `steps`.
+    """
+    names = ["n", *(f"s{i}" for i in range(len(DIMS))), *(f"s{i}{j}" for i, j in PAIRS)]
+    plain = _estimate(_with_prior(stats.groupBy(*GROUP).agg(*_sums([])).withColumn("start", F.lit(0)), names), 1.0)
+    robust = _robust_start(stats, tables)
+    now = plain
+    for start in (1, 2):
+        now = now.unionByName(robust.withColumn("start", F.lit(start)).select(*plain.columns))
+    now = _few(now, tables)
+    for step in range(steps):
+        share = F.when((F.col("start") == 2) & F.lit(not step), 0.5).otherwise(SHARE)
+        near = stats.join(now, GROUP).withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 16).cast("int"))
+        own = W.partitionBy(*GROUP, "start")
+        bins = near.groupBy(*GROUP, "start", "bin").agg(*_sums([])).withColumns({"up_to": F.sum("n").over(own.orderBy("bin")), "total": F.sum("n").over(own)})
+        inner = bins.where(F.col("up_to") - F.col("n") < share * F.col("total")).groupBy(*GROUP, "start").agg(*(F.sum(c).alias(c) for c in names))
+        before, now = now, _few(_estimate(_with_prior(inner, names), _consistency()), tables)
+        old = before.select(*(F.col(c).alias(f"b_{c}") for c in (*GROUP, "start", "logdet")))
+        moved = now.join(old, [F.col(c) == F.col(f"b_{c}") for c in (*GROUP, "start")]).agg(F.max(F.abs(F.col("logdet") - F.col("b_logdet"))).alias("m")).first()["m"]
+        if step and (moved or 0.0) < 1e-6:
+            break
+    best = now.groupBy(*GROUP).agg(F.expr("min_by(start, struct(logdet, start))").alias("start"))
+    return now.join(best, [*GROUP, "start"]).drop("start", "logdet")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = 4e-9) -> DataFrame:
     """One row per row of docs: id, text hash, counts, base_failed, distance, kept.
 
-    Null and empty texts have zero counts and fail the base rules. A null language or source is a
+    tail: the share of normal texts that would be rejected. The statistics have longer tails than a
+    normal distribution, so it is small; the floors on variances make it smaller still. Null and empty
+    texts have zero counts and fail the base rules. A null language or source is a
     group of its own. Rows that repeat each count. Without rows the result is empty.
     """
-    return _judged(docs, F.col(id_col).alias("id"), text_col, lang_col, source_col, cutoff, small).withColumnRenamed("id", id_col)
+    return _judged(docs, F.col(id_col).alias("id"), text_col, lang_col, source_col, tail).withColumnRenamed("id", id_col)
 
 
-def _judged(docs: DataFrame, carried: Column, text_col: str, lang_col: str = "lang", source_col: str = "source", cutoff: float = 45.0, small: int = 50) -> DataFrame:
+def _judged(docs: DataFrame, carried: Column, text_col: str, lang_col: str = "lang", source_col: str = "source", tail: float = 4e-9) -> DataFrame:
     """id (the carried column, which may hold whole rows) with the counts and the verdict. Rows meet only a table of groups."""
     tables = Tables(docs.sparkSession)
-    rows = docs.select(carried.alias("id"), text_key(text_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    rows = docs.select(carried.alias("id"), text_key(text_col).alias("key"), group(lang_col).alias("r_lang"), group(source_col).alias("r_source"), F.col(text_col).cast("string").alias("text"))
     rows = tables.write(_transformed(base_statistics(rows)).drop("text"))
-    good = rows.where("not base_failed").select(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s"), *DIMS)
-    sizes = good.groupBy("l", "s").count().where(F.col("count") >= small).select(F.col("l").alias("big_l"), F.col("s").alias("big_s"))
-    sizes = tables.write(sizes)
-    own = good.join(sizes, (F.col("l") == F.col("big_l")) & (F.col("s") == F.col("big_s")), "left_semi").select(F.col("l").alias("g_lang"), F.col("s").alias("g_source"), *DIMS)
-    everyone = good.select(F.lit("").alias("g_lang"), F.lit("\0all").alias("g_source"), *DIMS)
-    found = tables.write(minimum_covariance(tables.write(own.unionByName(everyone)), tables))
-    joined = rows.join(sizes, (F.coalesce("lang", F.lit("\0")) == F.col("big_l")) & (F.coalesce("source", F.lit("\0")) == F.col("big_s")), "left")
-    joined = joined.withColumns({"to_lang": F.when(F.col("big_l").isNull(), "").otherwise(F.col("big_l")), "to_source": F.when(F.col("big_l").isNull(), "\0all").otherwise(F.col("big_s"))})
-    joined = joined.join(found, (F.col("to_lang") == F.col("g_lang")) & (F.col("to_source") == F.col("g_source")), "left")
+    stats = rows.where("not base_failed").select(F.col("r_lang").alias("g_lang"), F.col("r_source").alias("g_source"), *DIMS)
+    found = _few(minimum_covariance(stats, tables), tables)
+    joined = rows.join(found, (F.col("r_lang") == F.col("g_lang")) & (F.col("r_source") == F.col("g_source")), "left")
     return joined.withColumn("distance", _distance()).select(
-        "id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept")
+        "id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= quantile(tail))).alias("kept")
     )
 
 

@@ -64,7 +64,7 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh, same, text_key
+from .common import Tables, fresh, sized_join, text_key
 from .graph import connected_components
 
 SEGMENTS = 16
@@ -90,10 +91,13 @@ def _meeting_values(members: DataFrame) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints at 2 or fewer differing bits (fps: distinct fp)."""
-    grid = _grid(fps)
-    crowded = grid.groupBy("cell").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("cell")
-    members = _meeting_values(grid.join(crowded, "cell", "left_semi"))
+    """Links (a, b) that connect exactly the fingerprints at 2 or fewer differing bits (fps: distinct fp).
+
+    Grid points are dealt and sorted once: whether one is crowded shows in the neighbouring rows.
+    """
+    near = W.partitionBy("cell").orderBy("fp")
+    grid = _grid(fps).select("fp", "cell", "move", F.lag("fp").over(near).alias("x"), F.lead("fp").over(near).alias("y"))
+    members = _meeting_values(grid.where("x is not null or y is not null"))
     hubs = members.groupBy("at").agg(F.min("fp").alias("hub"), F.max("fp").alias("y")).where("hub <> y").select("at", "hub")
     links = members.join(hubs, "at").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
@@ -135,8 +139,8 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     found = found.where("id <=> component_id").groupBy("id", "k").count()
     kept = found.select(F.col("id").alias("keep_id"), F.col("k").alias("keep_key"), "count")
     own = docs.withColumn(key, text_key(text_col))
-    own = own.join(kept.hint("shuffle_hash"), same(own, kept, (id_col, "keep_id"), (key, "keep_key")))
     columns = [own[f"`{c}`"] for c in docs.columns]
+    out = sized_join(own, kept, [(id_col, "keep_id"), (key, "keep_key")], docs.count())
     if not found.where("count > 1").isEmpty():
-        return own.dropDuplicates([id_col, key]).select(*columns)
-    return own.select(*columns)
+        return out.dropDuplicates([id_col, key]).select(*columns)
+    return out.select(*columns)

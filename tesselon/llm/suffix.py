@@ -1,7 +1,7 @@
 """Removal of long repeated passages by a sparse suffix order.
 
 A string of 400 bytes that starts twice is found through suffixes at content-defined places: of
-the 201 grams of 200 bytes within any 400-byte window, the one with the smallest hash is its
+the 201 grams of 100 bytes within the first 300 bytes of a window, the one with the smallest hash is its
 anchor, so equal windows have equal anchors at equal offsets. Anchors stand about every 100
 bytes. Their suffixes are put in global order (see ordering.py) by leading bytes, then a digest
 of the gram, then a digest of the extent, all bytes of the windows that have this anchor.
@@ -14,12 +14,15 @@ of the gram, then a digest of the extent, all bytes of the windows that have thi
   equal extents and blocks stays in, for the others to be compared with.
 
 Every test is equality of neighbours in order, so copies never meet in pairs or in one task.
-Digests of at least 128 bits stand for the bytes they are made of.
+Digests of at least 128 bits stand for the bytes they are made of. Past the 8 leading bytes the order is
+that of digests, not of the text: equal suffixes still stand together, which is all that is asked.
+
+Passages of 300 bytes (about 50 words) are too short for the removal, but two texts that share one share an anchor:
+the same order tells which texts hold a gram that starts elsewhere (`shares_passage`).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, fresh, same, text_key
+from .common import Tables, sized_join, text_key
 from .linededup import NO_ID
 from .ordering import runs
 
@@ -53,6 +56,7 @@ class Anchors:
     """Places of a text's anchors and the windows that each stands for."""
 
     def __init__(self, length: int, gram: int):
+        """length: bytes of the windows, all of whose grams are looked at."""
         self.length, self.gram, self.grams = length, gram, length - gram + 1
         self.up, self.down = _powers(1 << 16)
 
@@ -97,19 +101,23 @@ def _rows(columns: list[list[int]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], names=names)
 
 
-def _suffixes(length: int, gram: int):
+def _suffixes(length: int, gram: int, passage: int):
+    """A row for each anchor; span holds the offset and the number less one of its windows of `length` bytes, or is -1 without any."""
     names = ["lead", "gram", "extent", "doc", "key", "at", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length, gram)
+        anchors = Anchors(passage, gram)
         hash64 = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
             for text, doc, key in zip(*batch.columns, strict=True):
                 text, doc, key = text.as_py().encode("utf-8"), doc.as_py(), key.as_py()
+                most = len(text) - length
                 for at, lo, hi in anchors.find(text):
-                    span = (at - lo) << 20 | (hi - lo)
-                    for column, value in zip(out, (int.from_bytes(text[at : at + 8], "big", signed=False) - (1 << 63), _signed(hash64(text[at : at + gram])), _signed(hash64(text[lo : hi + length], seed=span)), doc, key, at, span), strict=True):
+                    hi = min(hi, most)
+                    span = (at - lo) << 20 | (hi - lo) if hi >= lo else -1
+                    extent = hash64(text[lo : hi + length], seed=span) if hi >= lo else 0
+                    for column, value in zip(out, (int.from_bytes(text[at : at + 8], "big", signed=False) - (1 << 63), _signed(hash64(text[at : at + gram])), _signed(extent), doc, key, at, span), strict=True):
                         column.append(value)
                 if len(out[0]) > 50_000:
                     yield _rows(out, names)
@@ -158,16 +166,20 @@ def _single(length: int):
     return run, ", ".join(f"{n} long" for n in names)
 
 
-def repeated_spans(docs: DataFrame, doc: str, key: str, text: str, length: int, gram: int, tables: Tables) -> DataFrame:
-    """d, k, first, size: groups of consecutive windows of `length` bytes that start more than once."""
-    run, kinds = _suffixes(length, gram)
-    rows = docs.select(text, doc, key).where(F.octet_length(text) >= length).mapInArrow(run, kinds)
+def repeated_spans(docs: DataFrame, doc: str, key: str, text: str, length: int, gram: int, passage: int, tables: Tables) -> DataFrame:
+    """d, k, first, size: groups of consecutive windows of `length` bytes that start more than once.
+
+    Texts that hold a gram that starts elsewhere have a row without first and size, too.
+    """
+    run, kinds = _suffixes(length, gram, passage)
+    rows = docs.select(text, doc, key).where(F.octet_length(text) >= passage).mapInArrow(run, kinds)
     found = tables.write(runs(tables.write(rows), ["lead", "gram"], ["extent"], ["doc", "key", "at", "span"], tables))
     lo, n = F.expr("at - shiftright(span, 20)"), F.expr("(span & 1048575L) + 1")
-    sure = found.where("equal").select("doc", "key", lo.alias("first"), n.alias("size"))
-    asks = found.where("ask").groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct(lo.alias("lo"), F.expr("shiftright(span, 20)").alias("offset"), n.alias("n"))).alias("asks"))
+    some = found.where("span >= 0")
+    sure = some.where("equal").select("doc", "key", lo.alias("first"), n.alias("size"))
+    asks = some.where("ask").groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct(lo.alias("lo"), F.expr("shiftright(span, 20)").alias("offset"), n.alias("n"))).alias("asks"))
     own = docs.select(text, doc, key)
-    cut = own.join(asks.hint("shuffle_hash"), same(own, asks, (doc, "d"), (key, "k"))).select(F.encode(text, "UTF-8").alias("t"), "d", "k", F.explode("asks").alias("a"))
+    cut = sized_join(own, asks, [(doc, "d"), (key, "k")], docs.count()).select(F.encode(text, "UTF-8").alias("t"), "d", "k", F.explode("asks").alias("a"))
     cut = tables.write(cut.select(F.expr(f"substring(t, int(a.lo + 1), int(a.n + {length - 1}))").alias("data"), "d", "k", "a.lo", "a.offset", "a.n"))
     run, kinds = _blocks(length)
     blocks = tables.write(runs(tables.write(cut.mapInArrow(run, kinds)), ["core1", "core2"], ["full1", "full2"], ["doc", "key", "first", "size"], tables))
@@ -178,27 +190,34 @@ def repeated_spans(docs: DataFrame, doc: str, key: str, text: str, length: int,
     run, kinds = _single(length)
     ones = cut.join(open_, ["d", "k", "lo"]).select("data", "d", "k", "lo", "starts").mapInArrow(run, kinds)
     ones = runs(tables.write(ones), ["h1", "h2"], [], ["doc", "key", "first"], tables)
-    return sure.union(ones.select("doc", "key", "first", F.lit(1).cast("long"))).select(F.col("doc").alias("d"), F.col("key").alias("k"), "first", "size")
+    nothing = F.lit(None).cast("long")
+    texts = found.select("doc", "key").distinct().select("doc", "key", nothing.alias("first"), nothing.alias("size"))
+    out = sure.union(ones.select("doc", "key", "first", F.lit(1).cast("long"))).union(texts).select(F.col("doc").alias("d"), F.col("key").alias("k"), "first", "size")
+    spans = tables.write(out.groupBy("d", "k").agg(F.collect_set(F.expr("if(first is null, null, struct(first, size))")).alias("spans")))
+    tables.drop(found, cut, blocks)
+    return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 200) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, passage: int = 300) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, shares_passage, kept (binary).
 
     Removes every byte covered by a string of `length` bytes that also starts elsewhere, in the
-    same document or in another, all occurrences alike. Null texts count as empty, and texts
+    same document or in another, all occurrences alike. shares_passage: the text holds a string of
+    `gram` bytes that starts elsewhere and is an anchor there and here; true for all texts with a
+    passage of `passage` bytes that starts elsewhere (no more than `length`). Null texts count as empty, and texts
     shorter than `length` keep all. Rows equal in id and text lie elsewhere to each other.
     """
     tables = Tables(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated_spans(own, "doc", "key", "text", length, gram, tables)
-    spans = found.groupBy("d", "k").agg(F.collect_set(F.struct("first", "size")).alias("spans"))
-    joined = own.join(spans.hint("shuffle_hash"), same(own, spans, ("doc", "d"), ("key", "k")), "left").select("text", "id", F.col("spans.first").alias("firsts"), F.col("spans.size").alias("sizes"))
+    spans = repeated_spans(own, "doc", "key", "text", length, gram, min(passage, length), tables)
+    joined = sized_join(own, spans, [("doc", "d"), ("key", "k")], docs.count(), "left")
+    joined = joined.select("text", "id", F.col("spans.first").alias("firsts"), F.col("spans.size").alias("sizes"), F.col("spans").isNotNull().alias("shares_passage"))
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, _, firsts, sizes in zip(*batch.columns, strict=True):
+            for text, _, firsts, sizes, _ in zip(*batch.columns, strict=True):
                 data = text.as_py().encode("utf-8")
                 firsts = np.array(firsts.as_py() or [], np.int64)
                 edges = np.zeros(len(data) + 1, np.int64)
@@ -209,6 +228,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 for column, value in zip(out, (len(data), len(data) - len(kept), starts, kept), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.int64()) for c in out[:3]), batch.column(4), pa.array(out[3], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "shares_passage", "kept"])
 
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, shares_passage boolean, kept binary").withColumnRenamed("id", id_col)
