@@ -285,8 +285,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return _narrow(encoded, id_col, ids_col, run, "text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", moves: int = MOVES, memo: int = MEMO) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without a shuffle.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", moves: int = MOVES, memo: int = MEMO, with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 (and ids): encoding and decoding in one pass, without a shuffle.
 
     moves and memo bound what a worker keeps of the transducer and of encoded units; they trade
     memory (about 1 KB a move, 0.3 KB a unit) for time and never change results. Null texts count as empty. Each row gives a row, repeats included; other columns are ignored.
@@ -295,18 +295,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern, moves, memo)
         for batch in batches:
-            n, first, second = [], [], []
-            for x in batch.column(0):
-                ids = t.encode(x.as_py() or "")
-                n.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest())
-                back = hashlib.sha256()
-                for part in t.decode(ids):
-                    back.update(part.encode("utf-8"))
-                second.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _narrow(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                coded = [t.encode(x.as_py() or "") for x in part.column(0)]
+                digests = [hashlib.sha256(x).hexdigest() for x in coded]
+                columns = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(digests, pa.string()), pa.array([back(t, x) for x in coded], pa.string())]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in coded], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([part.column(1), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 1 + len(columns)])
+
+    def back(t: Tokenizer, ids: bytes) -> str:
+        digest = hashlib.sha256()
+        for part in t.decode(ids):
+            digest.update(part.encode("utf-8"))
+        return digest.hexdigest()
+
+    return _narrow(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def _narrow(df: DataFrame, id_col: str, col: str, run, columns: str) -> DataFrame:

@@ -64,9 +64,14 @@ class Tables:
             _remove(self.spark, df._tesselon_path)
 
     @classmethod
-    def forget(cls, spark: SparkSession) -> None:
-        """Remove all tables of this driver. Results that were not written elsewhere are lost."""
-        while cls._left:
+    def mark(cls) -> int:
+        """For forget()."""
+        return len(cls._left)
+
+    @classmethod
+    def forget(cls, spark: SparkSession, since: int = 0) -> None:
+        """Remove the tables of this driver's operators, or of those called since a mark. Results not written elsewhere are lost."""
+        while len(cls._left) > since:
             _remove(spark, cls._left.pop())
 
 

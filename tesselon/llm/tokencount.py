@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 UNITS = re.compile(r"\s*\S+|\s+")
 #: White space in Python, but not to the tokenizer.
 ODD = re.compile("[\x1c-\x1f]")
-STABLE = re.compile(r"(?<=\S)(?=\s)")
+#: White space that is so in Python and to the tokenizer, after what is not in Python.
+STABLE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 MEMO = 1_000_000
 
 
@@ -102,7 +103,7 @@ class Counter:
         return total
 
     def count(self, text: str) -> int:
-        if len(text) > self.chunk and not ODD.search(text):
+        if len(text) > self.chunk:
             return self.huge(text)
         if ODD.search(text):
             return len(self.library.encode(text, add_special_tokens=False))

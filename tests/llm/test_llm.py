@@ -250,6 +250,8 @@ def test_token_counts(docs, none):
     for _ in range(500):
         x = "".join(random.choice("ab \n\t'sthé中🙂01 <|endoftext|>., the\x1c") for _ in range(random.randint(0, 300)))
         assert plain.count(x) == tiny.count(x) == len(plain.library.encode(x, add_special_tokens=False))
+    long = " ".join(random.choice(["the", "a\x1cb", "\x1f", "é中", "\xa0x", "0123"]) for _ in range(30000))  # separators that are not white space to the tokenizer
+    assert plain.count(long) == len(plain.library.encode(long, add_special_tokens=False))
     got = {r.doc_id: r for r in tokencount.count_tokens(docs, JSON, chunk=1000).collect()}
     assert got[13].n_tokens == len(plain.library.encode(odd_rows()[13][1], add_special_tokens=False)) and got[5].n_tokens == 0
     assert tokencount.count_tokens(none, JSON).count() == 0
@@ -393,6 +395,14 @@ def test_lm_beats_the_word_counts_on_held_out_texts(spark):
     assert got and sum(x.score for x in got) > sum(x.base_score for x in got)
 
 
+def grams_of(text):
+    """Five-word shingles of lower-case letters and digits."""
+    import regex
+
+    ws = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
 def test_licenses(spark, docs, none):
     bodies = list(license.TEMPLATES.items())
     rows = [(i, words(80, i) + "\n" + t + "\n" + words(50, i + 100)) for i, (_, t) in enumerate(bodies)] + [(99, None), (98, words(100, 7))]
@@ -400,6 +410,17 @@ def test_licenses(spark, docs, none):
     for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id].add(r.license)
     assert all(n in got[i] for i, (n, _) in enumerate(bodies)) and 98 not in got and 99 not in got
+    # odd rows with two notices among them: as brute force over whole texts
+    rows = [(r[0], r[1], r[4]) for r in odd_rows()] + [(500, "x " * 3000 + bodies[5][1] + " y" * 900, None), (500, "x " * 3000 + bodies[5][1] + " y" * 900, None), (501, bodies[3][1].upper(), None)]
+    want = collections.Counter()
+    for i, t, _ in rows:
+        own = grams_of(t)
+        for n, body in bodies:
+            g = grams_of(body)
+            if len(g & own) >= 0.8 * len(g):
+                want[i, n] += 1
+    got = collections.Counter((r.doc_id, r.license) for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect())
+    assert got == want and want[500, bodies[5][0]] == 2
     assert license.scan_licenses(none).count() == 0
 
 
@@ -464,6 +485,63 @@ def test_mixing_of_repeated_rows_and_clashing_names(spark):
         assert abs(sum(r.rate * r.n_words * r.copies * r[f"p_{d}"] for r in many.values()) / tokens - share) < 1e-3
 
 
+def without_repeated_windows(texts):
+    """Texts in order of id without the lines that a later start of a three-line window covers."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        gone = set()
+        for k in range(len(lines) - 2):
+            window = tuple(lines[k : k + 3])
+            if any(x.strip(" \t\n\r\x0b\x0c") for x in window):
+                if window in seen:
+                    gone |= {k, k + 1, k + 2}
+                seen.add(window)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Planted junk, repeated windows, copies and near copies: each stage keeps what brute force keeps of its input."""
+    import corpus_pipeline
+    import tiktoken
+
+    shared = "\n".join(words(12, 9000 + i) for i in range(4))
+    texts = {i: words(90, 8000 + i) for i in range(60)}
+    texts |= {60: texts[1], 61: texts[2].replace(" ", " new ", 1), 62: " ".join([*texts[3].split()[:45], "changed", *texts[3].split()[46:]])}
+    texts |= {63: words(5, 1), 64: "ab cd ef gh ij " * 40, 65: " ".join(w + "###$$$" for w in words(90, 8065).split())}
+    texts |= {66: texts[4] + "\n" + shared + "\n" + words(30, 8066), 67: texts[5] + "\n" + shared + "\n" + words(30, 8067), 68: ""}
+    rows = [(i, t, "en", "web", len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    first = {r.doc_id: r.text for r in kept.collect()}
+    assert set(texts) - set(first) == {63, 64, 65, 68} and all(first[i] == texts[i] for i in first)
+
+    cut = corpus_pipeline.line_dedup(spark, kept, str(tmp_path))
+    second = {r.doc_id: r.text for r in cut.collect()}
+    assert second == without_repeated_windows(first) and cut.columns == docs.columns and shared not in second[67]
+
+    near = corpus_pipeline.near_dedup(spark, cut, str(tmp_path))
+    third = {r.doc_id: r.text for r in near.collect()}
+    ids = sorted(second)
+    parts = reachable(shingle_sets([second[i] for i in ids]))
+    assert set(third) == {ids[min(p)] for p in parts} and {60, 61, 62}.isdisjoint(third) and near.columns == docs.columns
+
+    mixed = corpus_pipeline.mix(spark, near, str(tmp_path))
+    fourth = {r.doc_id: r.text for r in mixed.collect()}
+    assert mixed.count() == len(fourth) and set(fourth) <= set(third) and len(fourth) > 0.9 * len(third) and all(fourth[i] == third[i] for i in fourth)
+
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(TEXT), special_tokens={})
+    got = corpus_pipeline.encode(spark, mixed, str(tmp_path)).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: lib.encode_ordinary(t) for i, t in fourth.items()}
+    for r in got:
+        assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(fourth[r.doc_id].encode()).hexdigest()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
