@@ -91,6 +91,12 @@ def moved_labels(spark: SparkSession, d: str) -> DataFrame:
     return pairs.moved_with_labels(tables.table(spark, d, "documents").where("doc_id % 5 = 1"), tables.table(spark, d, "labels"), "doc_id")
 
 
+@query("select case when o_orderkey % 5 = 0 then 'val' else 'train' end as split, count(*) as n_images from orders group by 1")
+def images_per_split(spark: SparkSession, d: str) -> DataFrame:
+    images = tables.images(spark, d).withColumn("split", F.when(F.col("image_id") % 5 == 0, "val").otherwise("train"))
+    return images.groupBy("split").agg(F.count(F.lit(1)).alias("n_images"))
+
+
 # --- rules on boxes and images -------------------------------------------------------------------
 
 

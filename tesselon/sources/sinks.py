@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tesselon.operators import kernels
 from tesselon.operators.scores import as_matrix
+from tesselon.sources import jpeg
 
 
 def label_files(boxes: DataFrame, image_col: str = "image_id", order: str = "line_no") -> DataFrame:
@@ -115,6 +116,17 @@ def scores_json(scores: DataFrame, key: str, value: str) -> str:
     return json.dumps({r[key]: round(r[value], 6) for r in scores.orderBy(key).collect()}, ensure_ascii=False)
 
 
+def encoded(images: DataFrame, form: str = "jpg", quality: int = 93, key: str = "path") -> DataFrame:
+    """name, content: each readable image of (key, width, height, channels, data) as a JPEG or PNG file, named by its stem."""
+
+    def run(img, _):
+        return (jpeg.encode(img, quality) if form == "jpg" else png(img.shape[1], img.shape[0], img.tobytes()),)
+
+    files = kernels.over_images(images, run, "content binary", key=key)
+    stem = F.regexp_extract(F.col(key).cast("string"), "([^/]*?)(\\.[^./]*)?$", 1)
+    return files.select(F.concat(stem, F.lit(f".{form}")).alias("name"), "content")
+
+
 def previews(images: DataFrame, boxes: DataFrame, key: str = "path") -> DataFrame:
     """name, content: a PNG of each image with its boxes (x1, y1, x2, y2, suspicious) drawn on it."""
     marks = boxes.groupBy(key).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "suspicious")).alias("boxes"))
@@ -147,8 +159,8 @@ def collisions(plan: DataFrame, existing: DataFrame, name: str = "dst") -> DataF
 
 def write_csv_pair(clean: DataFrame, quarantine: DataFrame, path: str) -> None:
     """Clean and quarantined rows as CSV with headers; an existing destination is an error."""
-    clean.write.mode("errorifexists").csv(f"{path}/clean", header=True)
-    quarantine.write.mode("errorifexists").csv(f"{path}/quarantine", header=True)
+    clean.write.mode("errorifexists").csv(f"{path}/clean", header=True, escape='"')
+    quarantine.write.mode("errorifexists").csv(f"{path}/quarantine", header=True, escape='"')
 
 
 def png(width: int, height: int, bgr: bytes) -> bytes:

@@ -95,6 +95,25 @@ def test_matrix_exports(spark, tmp_path):
     assert json.loads(sinks.scores_json(spark.createDataFrame([("x", 0.12345678)], "k string, v double"), "k", "v")) == {"x": 0.123457}
 
 
+def test_csv_pair(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 0, '[a "b", c] x {A1}'), (1, 1, "[d] y {Zz1}")], "doc int, pos int, line string")
+    found = lexicon.routed(lexicon.entries(lines), spark.createDataFrame([("A1",)], "code string"))
+    clean = found.where("clean").select("translit", "translation", "gardiner_seq", "gardiner_seq_orig")
+    bad = found.where("not clean").select("translit", "translation", "gardiner_seq", "gardiner_seq_orig", "unknown_codes", F.col("raw").alias("raw_line"))
+    sinks.write_csv_pair(clean, bad, str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out/clean"), header=True, escape='"')
+    assert back.columns == clean.columns and back.first().translit == 'a "b", c' and spark.read.csv(str(tmp_path / "out/quarantine"), header=True).first().unknown_codes == "Zz1"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_csv_pair(clean, bad, str(tmp_path / "out"))
+
+
+def test_corrections_need_the_confusion_table(spark):
+    seqs = spark.createDataFrame([(["A1", "B2"],), (["A1", "C3"],), (["D4"],)], "seq array<string>")
+    cost = spark.createDataFrame([("X9", "B2", 0.2), ("X9", "C3", 0.7), ("E5", "D4", 0.1)], "seen string, meant string, p double")
+    asked = spark.createDataFrame([(["A1", "X9"],), (["A1", "B2"],), (["E5"],), (["F6"],), ([],)], "seq array<string>")
+    assert {tuple(r.seq): r.fixed for r in lexicon.correct(asked, seqs, cost).collect()} == {("A1", "X9"): ["A1", "C3"], ("E5",): ["D4"]}
+
+
 def test_report_and_totals(spark):
     lines = ["[ra] mouth {D21}", "[mw] a long", "middle piece", "meaning {N35 A1a}", "[xx] odd {Zz9 A1}", "[no] braces only", "A - Alpha, be/ta", "a – lower", "12", "[e] none {}", "[n] in {A[1]}"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc int, pos int, line string")

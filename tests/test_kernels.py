@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tesselon.operators import geometry, kernels
-from tesselon.sources import sinks, tables
+from tesselon.sources import jpeg, sinks, tables
 
 R = np.random.default_rng(3)
 IMG = R.integers(0, 256, (13, 17, 3)).astype(np.uint8)
@@ -179,9 +179,34 @@ def test_over_images(spark, tmp_path):
     assert (back["a_bbox.png"].width, back["a_bbox.png"].height) == (12, 9)
     sizes = {r.path.rsplit("/", 1)[-1]: (r.width, r.height) for r in tables.image_sizes(spark, str(tmp_path)).collect()}
     assert sizes["a_bbox.png"] == (12, 9)
+    for form in ("jpg", "png"):
+        sinks.write_files(sinks.encoded(df, form), str(tmp_path / form))
+        assert {r.path.rsplit("/", 1)[-1]: (r.width, r.height) for r in tables.read_images(spark, str(tmp_path / form)).collect()} == {f"a.{form}": (4, 3), f"b.{form}": (4, 3)}
     assert bytes(back["b_bbox.png"].data)[12 * 3 * 5 : 12 * 3 * 5 + 3] == bytes(four[1, 0, :3])
 
 
 def test_channels_first():
     got = kernels.chw(IMG)
     assert got.shape == (1, 3, 13, 17) and got.dtype == np.float32 and math.isclose(got[0, 1, 2, 3], IMG[2, 3, 1] / 255, rel_tol=1e-6)
+
+
+@pytest.mark.parametrize(("w", "h"), [(17, 13), (64, 40), (8, 8), (1, 1)])
+def test_jpeg_as_a_decoder_sees_it(spark, tmp_path, w, h):
+    y, x = np.mgrid[0:h, 0:w]
+    smooth = np.stack([128 + 90 * np.sin(x / 9 + k) * np.cos(y / 7) for k in range(3)], axis=-1).astype(np.uint8)
+    noisy = R.integers(0, 256, (h, w, 3)).astype(np.uint8)
+    for name, img in (("smooth", smooth), ("noisy", noisy)):
+        (tmp_path / f"{name}.jpg").write_bytes(jpeg.encode(img, 95))
+    got = {r.path.rsplit("/", 1)[-1]: r for r in tables.read_images(spark, str(tmp_path)).collect()}
+    for name, img, most in (("smooth", smooth, 3), ("noisy", noisy, 12)):
+        back = np.frombuffer(bytes(got[f"{name}.jpg"].data), np.uint8).reshape(h, w, 3).astype(float)
+        assert np.sqrt(((back - img) ** 2).mean()) < most
+    sizes = {r.path.rsplit("/", 1)[-1]: (r.width, r.height) for r in tables.image_sizes(spark, str(tmp_path)).collect()}
+    assert sizes["smooth.jpg"] == (w, h)
+
+
+def test_jpeg_codes():
+    lengths = jpeg.code_lengths({i: 2**i for i in range(30)})
+    assert max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) < 1
+    assert (jpeg.quantisers(50)[0] == np.array(jpeg.BRIGHT.split(), int)).all() and jpeg.ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2]
+    assert np.allclose(jpeg.COSINES @ jpeg.COSINES.T, np.eye(8))
