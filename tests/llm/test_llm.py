@@ -141,6 +141,26 @@ def test_order_of_words():
     assert (ordering.multikey_order(columns) == np.lexsort(columns[::-1])).all()
 
 
+def test_runs_over_many_buckets(spark, monkeypatch):
+    """A run that fills several buckets, and short ones, as by sorting everything in one place."""
+    monkeypatch.setattr(ordering, "partitions", lambda spark, rows: 23)
+    r = random.Random(9)
+    rows = sorted({(a := r.choice([0, 0, 0, 1, 2, r.randint(3, 200)]), r.randint(0, 1) * (a > 0), r.randint(0, 300), r.randint(0, 9)) for _ in range(900)})
+    tables = ordering.Tables(spark)
+    df = spark.createDataFrame(rows, "h1 long, h2 long, doc long, line long")
+    got = {tuple(x)[:4]: x for x in ordering.runs(tables.write(df), ["h1"], ["h2"], ["doc", "line"], tables).collect()}
+    wide, full = collections.Counter(x[0] for x in rows), collections.Counter(x[:2] for x in rows)
+    first = {}
+    for x in rows:
+        first.setdefault(x[:2], x[2:])
+    assert set(got) == {x for x in rows if wide[x[0]] > 1}
+    for k, x in got.items():
+        assert (x.equal, x.later) == (full[k[:2]] > 1, k[2:] != first[k[:2]])
+    for h in wide:  # one of each kind asks where there are several kinds
+        kinds = {k for k in full if k[0] == h}
+        assert len(kinds) == 1 or kinds == {k[:2] for k, x in got.items() if k[0] == h and x.ask}
+
+
 def test_lines(docs, none):
     got = {(r.doc_id, r.text): r for r in linededup.dedup_lines(docs).collect()}
     by_id = {k[0]: r for k, r in got.items()}
