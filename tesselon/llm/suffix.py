@@ -17,8 +17,9 @@ Every test is equality of neighbours in order, so copies never meet in pairs or
 Digests of at least 128 bits stand for the bytes they are made of. Past the 8 leading bytes the order is
 that of digests, not of the text: equal suffixes still stand together, which is all that is asked.
 
-Passages of 300 bytes (about 50 words) are too short for the removal, but two texts that share one share an anchor:
-the same order tells which texts hold a gram that starts elsewhere (`shares_passage`).
+Passages of 300 bytes (about 50 words) are too short for the removal, but two texts that share one share an anchor in it,
+with the 100 bytes before its gram or those after: a second order, of repeated grams with either, tells which texts
+share such a passage with another (`shares_passage`).
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _rows(columns: list[list[int]], names: list[str]) -> pa.RecordBatch:
 
 def _suffixes(length: int, gram: int, passage: int):
     """A row for each anchor; span holds the offset and the number less one of its windows of `length` bytes, or is -1 without any."""
-    names = ["lead", "gram", "extent", "doc", "key", "at", "span"]
+    names = ["lead", "gram", "extent", "doc", "key", "at", "span", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(passage, gram)
@@ -117,7 +118,9 @@ def _suffixes(length: int, gram: int, passage: int):
                     hi = min(hi, most)
                     span = (at - lo) << 20 | (hi - lo) if hi >= lo else -1
                     extent = hash64(text[lo : hi + length], seed=span) if hi >= lo else 0
-                    for column, value in zip(out, (int.from_bytes(text[at : at + 8], "big", signed=False) - (1 << 63), _signed(hash64(text[at : at + gram])), _signed(extent), doc, key, at, span), strict=True):
+                    end = at + 2 * gram
+                    sides = hash64(text[at - gram : at]) if at >= gram else 0, hash64(text[end - gram : end]) if end <= len(text) else 0
+                    for column, value in zip(out, (int.from_bytes(text[at : at + 8], "big", signed=False) - (1 << 63), _signed(hash64(text[at : at + gram])), _signed(extent), doc, key, at, span, *map(_signed, sides)), strict=True):
                         column.append(value)
                 if len(out[0]) > 50_000:
                     yield _rows(out, names)
@@ -167,13 +170,10 @@ def _single(length: int):
 
 
 def repeated_spans(docs: DataFrame, doc: str, key: str, text: str, length: int, gram: int, passage: int, tables: Tables) -> DataFrame:
-    """d, k, first, size: groups of consecutive windows of `length` bytes that start more than once.
-
-    Texts that hold a gram that starts elsewhere have a row without first and size, too.
-    """
+    """d, k, spans: per text the groups (first, size) of consecutive windows of `length` bytes that start more than once, and shares_passage."""
     run, kinds = _suffixes(length, gram, passage)
     rows = docs.select(text, doc, key).where(F.octet_length(text) >= passage).mapInArrow(run, kinds)
-    found = tables.write(runs(tables.write(rows), ["lead", "gram"], ["extent"], ["doc", "key", "at", "span"], tables))
+    found = tables.write(runs(tables.write(rows), ["lead", "gram"], ["extent"], ["doc", "key", "at", "span", "before", "after"], tables))
     lo, n = F.expr("at - shiftright(span, 20)"), F.expr("(span & 1048575L) + 1")
     some = found.where("span >= 0")
     sure = some.where("equal").select("doc", "key", lo.alias("first"), n.alias("size"))
@@ -191,9 +191,12 @@ def repeated_spans(docs: DataFrame, doc: str, key: str, text: str, length: int,
     ones = cut.join(open_, ["d", "k", "lo"]).select("data", "d", "k", "lo", "starts").mapInArrow(run, kinds)
     ones = runs(tables.write(ones), ["h1", "h2"], [], ["doc", "key", "first"], tables)
     nothing = F.lit(None).cast("long")
-    texts = found.select("doc", "key").distinct().select("doc", "key", nothing.alias("first"), nothing.alias("size"))
+    sides = F.explode(F.array(*(F.when(F.col(c) != 0, F.xxhash64(F.lit(c), F.col(c))) for c in ("before", "after"))))
+    sides = found.select("gram", sides.alias("side"), "doc", "key").where("side is not null").distinct()
+    texts = runs(tables.write(sides), ["gram", "side"], [], ["doc", "key"], tables)
+    texts = texts.select("doc", "key").distinct().select("doc", "key", nothing.alias("first"), nothing.alias("size"))
     out = sure.union(ones.select("doc", "key", "first", F.lit(1).cast("long"))).union(texts).select(F.col("doc").alias("d"), F.col("key").alias("k"), "first", "size")
-    spans = tables.write(out.groupBy("d", "k").agg(F.collect_set(F.expr("if(first is null, null, struct(first, size))")).alias("spans")))
+    spans = tables.write(out.groupBy("d", "k").agg(F.collect_set(F.expr("if(first is null, null, struct(first, size))")).alias("spans"), F.bool_or(F.col("first").isNull()).alias("shares")))
     tables.drop(found, cut, blocks)
     return spans
 
@@ -203,15 +206,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes every byte covered by a string of `length` bytes that also starts elsewhere, in the
     same document or in another, all occurrences alike. shares_passage: the text holds a string of
-    `gram` bytes that starts elsewhere and is an anchor there and here; true for all texts with a
-    passage of `passage` bytes that starts elsewhere (no more than `length`). Null texts count as empty, and texts
+    2 * gram bytes round an anchor that another text or document holds; true wherever two share
+    `passage` bytes, if that is 3 * gram or more (and no more than `length`). Null texts count as empty, and texts
     shorter than `length` keep all. Rows equal in id and text lie elsewhere to each other.
     """
     tables = Tables(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(own, "doc", "key", "text", length, gram, min(passage, length), tables)
     joined = sized_join(own, spans, [("doc", "d"), ("key", "k")], docs.count(), "left")
-    joined = joined.select("text", "id", F.col("spans.first").alias("firsts"), F.col("spans.size").alias("sizes"), F.col("spans").isNotNull().alias("shares_passage"))
+    joined = joined.select("text", "id", F.col("spans.first").alias("firsts"), F.col("spans.size").alias("sizes"), F.coalesce("shares", F.lit(False)).alias("shares_passage"))
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,14 @@ def test_suffix(docs, none):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_passages_too_short_to_be_removed_are_told(spark):
+    shared = words(70, 4321)[:310]
+    rows = [(i, words(60, 5000 + i) + (" " + shared + " " if i < 2 else " ") + words(60, 6000 + i)) for i in range(12)]
+    rows += [(20, words(50, 1) + " " + shared[:90] + " " + words(50, 2)), (21, (words(20, 3) + " ") * 4), (22, None), (23, shared)]
+    got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r.shares_passage} == {0, 1, 23} and all(r.n_removed == 0 for i, r in got.items() if i < 21)
+
+
 def test_order_of_words():
     r = np.random.default_rng(1)
     columns = [r.integers(0, 3, 500) for _ in range(4)]
