@@ -443,12 +443,13 @@ def generator(seed: int, key: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{key}".encode()).digest()[:8], "little"))
 
 
-def over_images(images: DataFrame, kernel: Callable[[np.ndarray, np.random.Generator], object], columns: str, seed: int = 42, key: str = "path") -> DataFrame:
+def over_images(images: DataFrame, kernel: Callable[[np.ndarray, np.random.Generator], object], columns: str, seed: int = 42, key: str = "path", spread: int = 0) -> DataFrame:
     """key and what the kernel makes of each readable image of (key, width, height, channels, data).
 
     columns names the kernel's results; a kernel that returns an image (columns `image`) gives width,
     height, channels and data. Images without data, and those the kernel refuses with None, give no row.
-    One Arrow stage, no shuffle: a batch of rows at a time, an image at a time within it.
+    One Arrow stage, no shuffle: a batch of rows at a time, an image at a time within it. spread: deal the images
+    to so many tasks first, for slow kernels on a table that has fewer splits.
     """
     from pyspark.sql.types import StructType
 
@@ -473,7 +474,8 @@ def over_images(images: DataFrame, kernel: Callable[[np.ndarray, np.random.Gener
 
     parsed = StructType.fromDDL(schema)
     out = [(f.name, to_arrow_type(f.dataType)) for f in parsed]
-    return images.select(key, "width", "height", "channels", "data").mapInArrow(run, parsed)
+    rows = images.select(key, "width", "height", "channels", "data")
+    return (rows.repartition(spread) if spread else rows).mapInArrow(run, parsed)
 
 
 def chw(img: np.ndarray) -> np.ndarray:

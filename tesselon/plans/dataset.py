@@ -257,26 +257,26 @@ def channels_first(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def augmented(spark: SparkSession, d: str) -> DataFrame:
     """Each image after the augmentation chain, 32 pixels wide: random, so tests hold its parts against brute force."""
-    return kernels.over_images(tables.gray_images(spark, d), lambda img, r: kernels.augment(kernels.resize(img, 32, 32, "linear"), r), "image", key="vec_id")
+    return kernels.over_images(tables.gray_images(spark, d), lambda img, r: kernels.augment(kernels.resize(img, 32, 32, "linear"), r), "image", key="vec_id", spread=spark.sparkContext.defaultParallelism)
 
 
 @query()
 def regions(spark: SparkSession, d: str) -> DataFrame:
     """The box that region detection finds in each image."""
-    return kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.region(kernels.resize(img, 64, 64, "linear")), "xc double, yc double, w double, h double", key="vec_id")
+    return kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.region(kernels.resize(img, 64, 64, "linear")), "xc double, yc double, w double, h double", key="vec_id", spread=spark.sparkContext.defaultParallelism)
 
 
 @query()
 def line_masks(spark: SparkSession, d: str) -> DataFrame:
     """Scores of horizontal and vertical lines, and the layout they give."""
-    found = kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.line_scores(kernels.resize(img, 64, 64, "nearest")), "h long, v long", key="vec_id")
+    found = kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.line_scores(kernels.resize(img, 64, 64, "nearest")), "h long, v long", key="vec_id", spread=spark.sparkContext.defaultParallelism)
     return found.withColumn("layout", geometry.layout(F.col("h"), F.col("v")))
 
 
 @query()
 def letterboxed(spark: SparkSession, d: str) -> DataFrame:
     """Images of 8 x 8 on squares of 24 with a margin of 2, then with contrast equalised by tiles."""
-    return kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.clahe(kernels.letterbox(img, 24, 2)), "image", key="vec_id")
+    return kernels.over_images(tables.gray_images(spark, d), lambda img, _: kernels.clahe(kernels.letterbox(img, 24, 2)), "image", key="vec_id", spread=spark.sparkContext.defaultParallelism)
 
 
 @query(f"with {BOXES}, l as (select image_id, printf('%d %.6f %.6f %.6f %.6f', cls_id, xc, yc, bw, bh) || chr(10) as line, cls_id, xc, yc, bw, bh from boxes) select image_id, string_agg(line, '' order by cls_id, xc, yc, bw, bh) as content from l group by 1")

@@ -24,7 +24,8 @@ from tesselon.sources import jpeg
 
 def label_files(boxes: DataFrame, image_col: str = "image_id", order: str = "line_no") -> DataFrame:
     """image, content: one label text per image, its boxes by the order column, six decimals a value."""
-    line = F.format_string("%d %.6f %.6f %.6f %.6f\n", F.col("cls_id").cast("long"), *(F.col(c).cast("double") for c in ("xc", "yc", "bw", "bh")))
+    six = [F.col(c).cast("double").cast("decimal(18,6)").cast("string") for c in ("xc", "yc", "bw", "bh")]
+    line = F.concat(F.concat_ws(" ", F.col("cls_id").cast("string"), *six), F.lit("\n"))
     lines = boxes.groupBy(image_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("lines"))
     return lines.select(image_col, F.array_join(F.col("lines.line"), "").alias("content"))
 
