@@ -5,8 +5,8 @@ rows, gives each document's posterior over domains. Rates r >= 0 (optionally bou
 then fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior,
 match the targets with the least squares of the misses: projected gradient from rate 1, in the metric
 that weighs documents by their tokens, so that a document's gradient depends on its posterior alone
-and projection is clipping. Step lengths are those of Barzilai and Borwein, with a fall back on the
-safe length 1. Posteriors are held in whole thousandths that add up to 1, so a step is one small sum
+and projection is clipping; rates that are free to move may be scaled by their second moments. Posteriors are held in
+whole thousandths that add up to 1, so a step is two small sums
 over the different posteriors, and a document's rate replays the steps. Only
 DataFrame functions touch rows; the driver holds a few numbers per domain.
 """
@@ -85,54 +85,94 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], tables: Ta
     return tables.write(z.select("id", "key", "copies", "n_words", *(f"p{i}" for i in range(len(DOMAINS)))))
 
 
-def replay(steps: list[list[float]], most: float | None, back: int = 0) -> Column:
-    """A document's rate after all projected steps but the last `back`, each a weight per domain."""
-    steps = steps[: len(steps) - back]
-    moves = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps)) if steps else F.expr("cast(array() as array<array<double>>)")
+def _along(v: list[str]) -> str:
+    """A document's posterior times a weight per domain, in SQL: plans are built in one call."""
+    return "(" + " + ".join(f"{e} * p{i}" for i, e in enumerate(v)) + f") / {GRID}"
 
-    def step(rate: Column, g: Column) -> Column:
-        moved = F.greatest(F.lit(0.0), rate - sum((g[i] * F.col(f"p{i}") / GRID for i in range(1, len(DOMAINS))), g[0] * F.col("p0") / GRID))
-        return moved if most is None else F.least(F.lit(float(most)), moved)
 
-    return F.aggregate(moves, F.lit(1.0 if most is None else min(1.0, float(most))), step)
+def _numbers(v: list[float]) -> list[str]:
+    return [f"({float(x)!r}D)" for x in v]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 200, tolerance: float = 1e-5) -> list[list[float]]:
+def _held(rate: str, slope: str, most: float | None) -> str:
+    """Whether a rate is at its bound and the gradient (slope) points outwards."""
+    low = f"({rate} <= 0 and {slope} >= 0)"
+    return low if most is None else f"({low} or ({rate} >= {float(most)!r}D and {slope} <= 0))"
+
+
+def _step(rate: str, move: str, slope: str, most: float | None) -> str:
+    """The rate after a projected step."""
+    moved = f"greatest(0D, {rate} - {move})"
+    if most is not None:
+        moved = f"least({float(most)!r}D, {moved})"
+    return f"if({_held(rate, slope, most)}, {rate}, {moved})"
+
+
+def replay(steps: list[list[float]], most: float | None) -> Column:
+    """A document's rate after all steps, each a move and a gradient as weights per domain, one after the other."""
+    n = len(DOMAINS)
+    held = ", ".join(f"array({', '.join(_numbers(s))})" for s in steps) if steps else ""
+    at = lambda first: _along([f"s[{first + i}]" for i in range(n)])
+    start = 1.0 if most is None else min(1.0, float(most))
+    return F.expr(f"aggregate(cast(array({held}) as array<array<double>>), {start!r}D, (rate, s) -> {_step('rate', at(0), at(n), most)})")
+
+
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Solution of a few linear equations, the matrix symmetric and positive definite."""
+    n = len(right)
+    rows = [[*matrix[i], right[i]] for i in range(n)]
+    for i in range(n):
+        for k in range(i + 1, n):
+            f = rows[k][i] / rows[i][i]
+            rows[k] = [x - f * y for x, y in zip(rows[k], rows[i], strict=True)]
+    for i in reversed(range(n)):
+        rows[i][n] = (rows[i][n] - sum(rows[i][k] * rows[k][n] for k in range(i + 1, n))) / rows[i][i]
+    return [r[n] for r in rows]
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], tables: Tables, most: float | None = None, rounds: int = 40, tolerance: float = 1e-5) -> list[list[float]]:
     """Projected gradient steps after which the squared misses of the targets (shares of all tokens) are least.
 
+    Each round tries the plain gradient, at several lengths, and the gradient scaled by the inverse second moments of the posteriors over
+    the rates that are free to move, and takes what leaves least; the plain step of length 1 always gains.
     Ends when every domain is within `tolerance` of its target, when the projected gradient is
-    shorter than `tolerance` (no allowed change of rates gains), or after `rounds` sums over the posteriors.
+    shorter than ten times that (no allowed change of rates gains), when nothing gains any more, or after `rounds` rounds of two
+    sums each: targets that are far out of reach are then missed by a little more than they must be.
     """
     d = range(len(DOMAINS))
     cells = tables.write(members.where("n_words > 0").groupBy(*(f"p{i}" for i in d)).agg(F.sum(F.col("n_words") * F.col("copies")).cast("double").alias("w")))
     total = cells.agg(F.sum("w").alias("all_w")).first()["all_w"] or 0.0
     if not total:
         return []
+    loss = lambda m: sum(v * v for v in m)
 
-    def look(steps: list[list[float]]) -> tuple[list[float], float]:
-        """Misses after these steps, and the length of the last one."""
-        now = cells.withColumns({"rate": replay(steps, most), "before": replay(steps, most, 1) if steps else F.lit(0.0)})
-        r = now.agg(*(F.sum(F.col("w") * F.col(f"p{i}") / GRID * F.col("rate")).alias(f"sum_{i}") for i in d), F.sum(F.col("w") * F.pow(F.col("rate") - F.col("before"), 2)).alias("moved")).first()
-        return [r[f"sum_{i}"] / total - targets[n] for i, n in enumerate(DOMAINS)], math.sqrt(r["moved"] / total)
+    def misses(steps: list[list[float]], miss: list[float], moves: list[list[float]]) -> list[list[float]]:
+        """What is missed after the steps and each of the moves."""
+        slope = _along(_numbers(miss))
+        after = [f"{_step('rate', _along(_numbers(m)), slope, most)} as r{j}" for j, m in enumerate(moves)] or ["rate as r0"]
+        df = cells.withColumn("rate", replay(steps, most)).selectExpr("*", *after)
+        got = df.selectExpr(*(f"sum(w * p{i} * r{j}) as r{j}_{i}" for j in range(len(after)) for i in d)).first()
+        return [[got[f"r{j}_{i}"] / GRID / total - targets[n] for i, n in enumerate(DOMAINS)] for j in range(len(after))]
 
     steps: list[list[float]] = []
-    miss, _ = look(steps)
-    length, losses = 1.0, [sum(m * m for m in miss)]
+    miss = misses(steps, [], [])[0]
     for _ in range(rounds):
         if max(map(abs, miss)) < tolerance:
             break
-        tried = [*steps, [length * m for m in miss]]
-        then, moved = look(tried)
-        if length > 1 and sum(m * m for m in then) > max(losses[-5:]):
-            length = 1.0  # never longer than the inverse of the greatest curvature: this one gains
-            continue
-        steps = tried
-        if moved / length < tolerance:
+        slope = _along(_numbers(miss))
+        df = cells.withColumn("rate", replay(steps, most)).selectExpr("*", f"{_step('rate', slope, slope, most)} as moved", f"if({_held('rate', slope, most)}, 0D, w) as free")
+        got = df.selectExpr("sum(w * pow(rate - moved, 2)) as pull", *(f"sum(free * p{i} * p{j}) as m_{i}{j}" for i in d for j in d)).first()
+        if math.sqrt(got["pull"] / total) < 10 * tolerance:
+            break
+        moment = [[got[f"m_{i}{j}"] / GRID**2 / total + (1e-7 if i == j else 0.0) for j in d] for i in d]
+        scaled = _solve(moment, miss)
+        moves = [[a * v for v in scaled] for a in (1.0, 0.5, 0.2, 0.05)] + [[a * v for v in miss] for a in (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)]
+        then = misses(steps, miss, moves)
+        best = min(range(len(moves)), key=lambda j: loss(then[j]))
+        if loss(then[best]) >= loss(miss) * (1 - 1e-9):
             break
-        bend = sum((a - b) ** 2 for a, b in zip(then, miss, strict=True))
-        losses.append(sum(m * m for m in then))
-        length = min(max(moved * moved / bend, 1.0), 1e4) if bend else 1e4
-        miss = then
+        steps.append([*moves[best], *miss])
+        miss = then[best]
     tables.drop(cells)
     return steps
 
