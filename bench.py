@@ -33,7 +33,7 @@ def duck(sf: str) -> dict[str, float]:
         times = []
         for _ in range(3):
             began = time.time()
-            con.execute(sql).fetch_arrow_table()
+            con.execute(sql).to_arrow_table()
             times.append(time.time() - began)
         out[name] = round(sorted(times)[1], 3)
     return out
