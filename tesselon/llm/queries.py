@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, license, linededup, lm, mixing, quality, simhash, suffix, tokencount
+from . import bpe, embeddings, gam, interactions, license, linededup, lm, mixing, quality, resampling, simhash, suffix, tokencount
 
 #: Share of all tokens wanted for each domain.
 TARGETS = {"good": 0.85, "poor": 0.05, "toxic": 0.10}
@@ -85,13 +85,26 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op4_bpe, op5_lm, op6_suffix, op7_embeddings, op8_tokens, op9_licenses, op10_lines, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_quality, op4_bpe, op5_lm, op6_suffix, op7_embeddings, op8_tokens, op9_licenses, op10_lines, op11_filter_audit, op12_quality_model, op13_resample, pipeline)}
 
 _NOTICES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license.TEMPLATES.items())
 
@@ -140,4 +153,31 @@ ORACLE_SQL = {
         )
         select doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) as kept_sha256 from kept
     """,
+    "op11_filter_audit": """
+        with recursive d as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+        ), w as (
+            select *, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') as words, min(doc_id) over (partition by text) as first_id from d
+        ), m as (
+            select doc_id, part, concat(case when len(words) < 200 then 'A' end, case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' end,
+                case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) then 'C' end,
+                case when regexp_matches(text, '[#$%&*|]') then 'D' end, case when doc_id > first_id then 'E' end) as fails from w
+        ), l as (
+            select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+        ), g as (
+            select part, fails, count(*) as c, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from m left join l using (doc_id) group by all
+        ), p as (
+            select '' as o union all select o || x from p, (select unnest(['A', 'B', 'C', 'D', 'E']) as x) where strpos(o, x) = 0
+        ), s as (
+            select o as filter_order, (range + 1)::int as step, o[range + 1:range + 1] as f, o[1:range] as before from p, range(5) where length(o) = 5
+        ), e as (
+            select part, filter_order, step, f,
+                regexp_matches(fails, '[' || before || ' ]') as gone, strpos(fails, f) > 0 as hit, fails = f as only_this, c, good, toxic from g, s
+        ), r as (
+            select part, filter_order, step, f, coalesce(sum(c) filter (not gone and not hit), 0)::bigint as kept, coalesce(sum(c) filter (not gone and hit), 0)::bigint as removed,
+                coalesce(sum(c) filter (gone and hit), 0)::bigint as redundant, coalesce(sum(c) filter (only_this), 0)::bigint as unique_fails,
+                coalesce(sum(good) filter (not gone and hit), 0)::bigint as good_lost, coalesce(sum(toxic) filter (not gone and hit), 0)::bigint as toxic_lost from e group by all
+        )
+        select * exclude (f), (sum(removed) over (partition by part, f))::bigint as shapley from r
+    """,
 }
