@@ -53,13 +53,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, tables: Tables, filters: dict[s
     )
     rows = tables.write(rows)
     twice = rows.groupBy(key).agg(F.min(id_).alias(first), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("text_key"), first)
+    twice = tables.write(twice)  # so that the join shuffles both sides on its own, and a text's many rows can be split
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     of = rows.join(twice, F.col(key) == F.col("text_key"), "left").withColumn("is_copy", F.coalesce(F.col(id_) > F.col(first), F.lit(False)))
     of = of.join(marks, F.col(id_) == F.col("label_id"), "left")
     bits = [F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(filters.values())]
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     out = tables.write(of.select(F.col(mine).alias("part"), flag("good"), flag("toxic"), sum(bits[1:], bits[0]).alias("fails")))
-    tables.drop(rows)
+    tables.drop(rows, twice)
     return out
 
 
