@@ -407,4 +407,4 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     return scores.nms(df.select("image_id", (F.col("cls_id") % 3).alias("cls_id"), "conf", "x1", "y1", "x2", "y2"))
 
 
-from tesselon.plans import dataset  # noqa: E402, F401  registers its queries
+from tesselon.plans import dataset, detection  # noqa: E402, F401  register their queries

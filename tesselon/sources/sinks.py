@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.operators import kernels
+from tesselon.operators.renames import move_order, passes, refused
 from tesselon.operators.scores import as_matrix
 from tesselon.sources import jpeg
+from tesselon.sources.scratch import fixed
 
 
 def label_files(boxes: DataFrame, image_col: str = "image_id", order: str = "line_no") -> DataFrame:
@@ -52,11 +54,14 @@ def write_files(files: DataFrame, root: str, name: str = "name", content: str =
 def apply_plan(plan: DataFrame, move: bool = False) -> None:
     """Copies or moves src to dst, files that all executors have mounted. A plan that would overwrite is an error before anything happens.
 
-    Renames within one folder need no second pass: a destination that is itself a source still to be moved is refused, too.
+    A move's destination may be another row's source (shifts, swaps, cycles): such rows are moved in three passes, some of
+    them by way of a temporary name. A copy's may not: the original would be lost. A task that runs twice does no harm.
     """
-    twice = plan.groupBy("dst").count().where("count > 1")
-    if not twice.isEmpty():
-        raise FileExistsError(f"planned twice: {twice.first()['dst']}")
+    wrong = refused(plan).first()
+    if wrong is not None:
+        raise FileExistsError(f"{wrong['why']}: {wrong['src']} to {wrong['dst']}")
+    of = plan.select("src", "dst")
+    others = of if not move else of.join(of.select(F.col("src").alias("leaves")), F.col("dst") == F.col("leaves"), "left_anti")
 
     def there(batches):
         for rows in batches:
@@ -64,17 +69,22 @@ def apply_plan(plan: DataFrame, move: bool = False) -> None:
                 if os.path.exists(dst):
                     yield pa.RecordBatch.from_arrays([pa.array([dst])], names=["dst"])
 
-    taken = plan.select("dst").mapInArrow(there, "dst string").first()
+    taken = others.select("dst").mapInArrow(there, "dst string").first()
     if taken is not None:
         raise FileExistsError(taken["dst"])
 
     def act(rows) -> None:
         for r in rows:
             Path(r["dst"]).parent.mkdir(parents=True, exist_ok=True)
-            if os.path.exists(r["src"]):  # a move that a lost task has made already
+            if os.path.exists(r["src"]):  # else a lost task has moved it already
                 (shutil.move if move else shutil.copy2)(r["src"], r["dst"])
 
-    plan.select("src", "dst").foreachPartition(act)
+    if not move:
+        of.foreachPartition(act)
+        return
+    moves = fixed(passes(move_order(of)))  # before anything moves
+    for n in (1, 2, 3):
+        moves.where(F.col("pass") == n).select("src", "dst").foreachPartition(act)
 
 
 def class_lines(classes: DataFrame) -> str:
