@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tesselon.functions.expressions import seeded
+from tesselon.operators.ranges import numbered
 
 
 def pair(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -14,36 +14,9 @@ def pair(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> Dat
     return left.join(right, key, how)
 
 
-#: Rows that one task ranks.
-RANKED = 1_000_000
-
-
 def ranked(df: DataFrame, group: str | None, order: Column, name: str = "rank") -> DataFrame:
-    """df with the rank (from 1) of each row in its group by an order without ties.
-
-    Rows are dealt into ranges of the order, so a group of any size is ranked by many tasks; the rows of
-    a group in the ranges before are added. Range limits come from rows with a low hash, about one for each RANKED rows, and
-    are literals: a row's range depends on nothing else.
-    """
-    key, part, local, before = (f"ranked_{x}" for x in ("key", "part", "local", "before"))
-    rows = df.withColumn(key, order)
-    n = df.count() // RANKED
-    limits = []
-    if n:
-        share = F.pmod(F.xxhash64(key, F.lit("range")), F.lit(df.count()))
-        limits = [r[0] for r in rows.where(share < 16 * n).select(key).orderBy(key).collect()][::16]
-    group_by = [group] if group else []
-    at = F.size(F.filter(F.array(*(F.lit(x) for x in limits)), lambda x: x <= F.col(key))) if limits else F.lit(0)
-    rows = rows.withColumn(part, at)
-    rows = rows.withColumn(local, F.row_number().over(W.partitionBy(*group_by, part).orderBy(key)))
-    if not limits:
-        return rows.withColumnRenamed(local, name).drop(key, part)
-    there = [F.col(c).alias(f"ranked_in_{i}") for i, c in enumerate((*group_by, part))]
-    sizes = df.withColumn(key, order).withColumn(part, at).groupBy(*there).agg(F.count(F.lit(1)).alias("ranked_n"))
-    own = W.partitionBy(*(f"ranked_in_{i}" for i in range(len(group_by)))).orderBy(f"ranked_in_{len(group_by)}")
-    sizes = sizes.withColumn(before, F.sum("ranked_n").over(own.rowsBetween(W.unboundedPreceding, -1))).drop("ranked_n")
-    out = rows.join(sizes, [F.col(c).eqNullSafe(F.col(f"ranked_in_{i}")) for i, c in enumerate((*group_by, part))])
-    return out.withColumn(name, (F.col(local) + F.coalesce(before, F.lit(0))).cast("int")).drop(key, part, local, before, *(f"ranked_in_{i}" for i in range(len(there))))
+    """df with the rank (from 1) of each row in its group by an order without ties; a group may hold all rows (see ranges)."""
+    return numbered(df, [group] if group else [], order, name)
 
 
 def positional(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str) -> DataFrame:

@@ -157,7 +157,7 @@ _join("pairs_semi", "left_semi", "doc_id stem", "select doc_id, stem from files
 def pairs_positional(spark: SparkSession, d: str) -> DataFrame:
     files = tables.files(spark, d)
     found = tables.table(spark, d, "labels").join(files, "doc_id").select("class", F.col("doc_id").alias("label_id"))
-    return pairs.positional(files, found, "class", "doc_id", "label_id").select("class", "rank", "doc_id", "label_id")
+    return pairs.positional(files, found, "class", "doc_id", "label_id").select("class", F.col("rank").cast("int").alias("rank"), "doc_id", "label_id")
 
 
 SPLIT = "split as (select doc_id, class, case when row_number() over (partition by class order by md5('42:' || doc_id), doc_id) <= greatest(1, floor(count(*) over (partition by class) * 0.2::double)) then 'val' else 'train' end as split from files)"

@@ -135,7 +135,7 @@ def distinct_paths(spark: SparkSession, d: str) -> DataFrame:
 def union_in_class_order(spark: SparkSession, d: str) -> DataFrame:
     files = tables.files(spark, d)
     classes = pairs.ranked(files.select("class").distinct(), None, F.col("class"), "position")
-    return pairs.in_class_order(files, classes, "class", "doc_id").select("place", "class", "doc_id")
+    return pairs.in_class_order(files, classes, "class", "doc_id").select(F.col("place").cast("int").alias("place"), "class", "doc_id")
 
 
 @query(f"with {FILES}, o as (select class, count(*) as n from files where doc_id % 3 = 0 group by 1), w as (select class, stem, row_number() over (partition by class order by stem) as r from files where doc_id % 3 <> 0) select stem, class || '_aug_' || lpad((r + coalesce(n, 0))::varchar, 3, '0') as name from w left join o using (class)")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import audit, labels, lexicon, pairs, scores
+from tesselon.operators import audit, labels, lexicon, pairs, ranges, scores
 from tesselon.sources import sinks, tables
 from tesselon.streaming.labels import histogram_stream
 
@@ -141,12 +141,14 @@ def test_names_and_lists(spark):
     assert pairs.sample(spark.range(5), "id", 6).count() == 5
 
 
-def test_ranks_over_many_ranges(spark, monkeypatch):
+def test_ranks_over_many_ranges(spark):
     rows = [(i, f"g{i % 3 if i % 2 else 0}" if i % 7 else None) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, g string")
-    want = {(r.g, r.k): r["rank"] for r in pairs.ranked(df, "g", F.col("k")).collect()}
-    monkeypatch.setattr(pairs, "RANKED", 40)
-    many = pairs.ranked(df, "g", F.col("k"))
+    want = {}
+    for k, g in rows:
+        want[g, k] = 1 + sum(a < k and b == g for a, b in rows)
+    assert {(r.g, r.k): r["rank"] for r in pairs.ranked(df, "g", F.col("k")).collect()} == want
+    many = ranges.numbered(df, ["g"], F.col("k"), ranges=37)
     assert {(r.g, r.k): r["rank"] for r in many.collect()} == want and "k" in many.columns and len(many.columns) == 3
     assert sorted(r["rank"] for r in pairs.ranked(df, None, F.format_string("%05d", "k")).collect()) == list(range(1, 501))
 
