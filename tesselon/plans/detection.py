@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.operators import geometry, matching, renames
+from tesselon.operators import geometry, matching, renames, trie
 from tesselon.plans.catalog import IMAGES
 from tesselon.plans.registry import query
 from tesselon.sources import tables
@@ -114,3 +114,29 @@ def merged_slices(spark: SparkSession, d: str) -> DataFrame:
     boxes = _truth(spark, d).where("x2 - x1 >= 8 and y2 - y1 >= 8").withColumn("conf", F.col("truth_id") % 1009 * 37 % 101 / 100.0)
     pieces = matching.cut_by_tiles(boxes, geometry.sliding_tiles(tables.images(spark, d)))
     return matching.merged_slices(pieces.withColumn("piece_id", F.concat_ws(":", *(F.col(c).cast("string") for c in ("truth_id", "tile_x", "tile_y")))).drop("truth_id"))
+
+
+# --- corrected sequences -------------------------------------------------------------------------
+
+#: Sequences of four codes from part keys; customers' sequences are such with a code missing, mistaken or superfluous.
+LEXICON = "select array['A' || p_partkey % 9, 'B' || p_partkey * 7 % 11, 'C' || p_partkey * 3 % 13, 'D' || p_size % 5] as seq from part"
+SEEN = """select case c_custkey % 6 when 0 then array[a, c, d] when 1 then array[a, 'B' || (n + 1) % 11, c, d] when 2 then array[a, b, 'X1', c, d] when 3 then array[b, c] when 4 then array['Y2', 'A0', b, c, d] else array[a, b, c, d] end as seq
+    from (select c_custkey, c_custkey * 7 % 11 as n, 'A' || c_custkey % 9 as a, 'B' || c_custkey * 7 % 11 as b, 'C' || c_custkey * 3 % 13 as c, 'D' || c_custkey % 5 as d from customer)"""
+MISTAKES = [(f"B{(i + 1) % 11}", f"B{i}", 300) for i in range(11)] + [(f"D{i}", f"D{(i + 2) % 5}", 450) for i in range(5)]
+
+
+@query(f"""with recursive lex as (select array_to_string(seq, ' ') as w, seq, count(*) as n from ({LEXICON.replace("array[", "[")}) group by all), seen as (select distinct seq from ({SEEN.replace("array[", "[")})),
+    e as (select distinct array_to_string(seq[:range], ' ') as parent, array_to_string(seq[:range + 1], ' ') as node, seq[range + 1] as code from lex, range(4) where range < len(seq)),
+    moves as (select parent, node, code, false as stay from e union all select distinct node, node, null, true from e union all select '', '', null, true), mistakes(s, m, c) as (values {", ".join(f"('{a}', '{b}', {c})" for a, b, c in MISTAKES)}),
+    st as (select seq, 0 as i, '' as node, 0 as cost from seen union select * from (select seq, i + took as i, m.node as node, cost + case when m.stay or took = 0 then 1000 when m.code = seq[i + 1] then 0 else coalesce(x.c, 1000) end as cost
+        from st join moves m on m.parent = st.node cross join (select unnest([0, 1]) as took) left join mistakes x on x.s = seq[i + 1] and x.m = m.code where not (m.stay and took = 0) and i + took <= len(seq)) where cost <= 1500),
+    f as (select st.seq as seq, arg_min(w, {{'c': cost, 'o': -n, 'w': replace(w, ' ', chr(31))}}) as w, min(cost)::bigint as cost from st join lex on st.node = lex.w where i = len(st.seq) group by st.seq)
+    select array_to_string(seen.seq, ' ') as seen, w as fixed, cost from seen left join f using (seq)""")
+def corrected_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' sequences by the lexicon of parts."""
+    for t in ("part", "customer"):
+        tables.table(spark, d, t).createOrReplaceTempView(f"trie_{t}")
+    lexicon = trie.prefix_table(spark.sql(LEXICON.replace("array[", "array(").replace("] as seq", ") as seq").replace("from part", "from trie_part")))
+    seen = spark.sql(SEEN.replace("array[", "array(").replace("]", ")").replace("from customer", "from trie_customer"))
+    found = trie.corrected(seen, lexicon, spark.createDataFrame(MISTAKES, "seen string, meant string, cost long"))
+    return found.select(F.array_join("seq", " ").alias("seen"), F.array_join("fixed", " ").alias("fixed"), "cost")

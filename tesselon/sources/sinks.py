@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tesselon.operators import kernels
 from tesselon.operators.renames import move_order, passes, refused
 from tesselon.operators.scores import as_matrix
-from tesselon.sources import jpeg
+from tesselon.sources import folders, jpeg
 from tesselon.sources.scratch import fixed
 
 
@@ -51,6 +51,18 @@ def write_files(files: DataFrame, root: str, name: str = "name", content: str =
     return files.count()
 
 
+def write_folder(files: DataFrame, root: str) -> None:
+    """One file per row (name, and content as text or bytes, or src to copy) in a new folder that all executors have mounted: all of them or none.
+
+    Null or repeated names, and a folder that exists, are errors before anything is written; a task that fails for good leaves nothing behind.
+    """
+    twice = files.groupBy("name").count().where("name is null or count > 1").first()
+    if twice is not None:
+        raise FileExistsError(f"planned twice or without a name: {twice['name']}")
+    files.sparkSession.dataSource.register(folders.NewFolder)
+    files.select("name", "src" if "src" in files.columns else "content").write.format("tesselon_new_folder").mode("append").save(root)
+
+
 def apply_plan(plan: DataFrame, move: bool = False) -> None:
     """Copies or moves src to dst, files that all executors have mounted. A plan that would overwrite is an error before anything happens.
 

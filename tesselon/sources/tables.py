@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import re
-import struct
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.operators import kernels
+from tesselon.sources import folders
 
 #: File suffixes of images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff", "webp")
@@ -87,26 +85,18 @@ def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGE_SUFFIXES, recursive: bool = True, globs: tuple[str, ...] = ("*",)) -> DataFrame:
     """path, dir, stem, suffix, length of the files of path, or below it, with one of the suffixes, whatever their case.
 
-    Spark lists in parallel and tells lengths without reading; it leaves out empty files, so those
-    alone come from a walk of the file system by the driver. Paths that several globs match are there once.
+    Executors list, folder by folder, empty files included. Paths that several globs match are there once.
     """
-    found = None
-    for g in globs:
-        part = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", g).load(path).select("path", "length")
-        found = part if found is None else found.union(part)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    walk = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(root, recursive)
-    empty = []
-    while walk.hasNext():
-        f = walk.next()
-        if f.getLen() == 0 and any(fnmatch.fnmatchcase(f.getPath().getName(), g) for g in globs):
-            empty.append((f.getPath().toString(), 0))
-    df = found.union(spark.createDataFrame(empty, "path string, length long")).distinct()
+    df = _listing(spark, path, recursive=recursive, globs=json.dumps(globs))
     df = df.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*?)(\\.[^./]*)?$", 1).alias("stem"), F.lower(F.regexp_extract("path", "\\.([^./]*)$", 1)).alias("suffix"), "length")
     return df.where(F.col("suffix").isin(*suffixes)).orderBy("path")
 
 
+def _listing(spark: SparkSession, path: str, **options) -> DataFrame:
+    spark.dataSource.register(folders.Listing)
+    return spark.read.format("tesselon_listing").options(**options).load(path)
+
+
 def class_folders(files: DataFrame) -> DataFrame:
     """class_name of each folder that holds a file, once; folders without files are not seen."""
     return files.select(F.regexp_extract("dir", "([^/]*)$", 1).alias("class_name")).distinct()
@@ -137,38 +127,8 @@ def colour_images(images: DataFrame) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width, height from the first bytes of PNG, JPEG, BMP and GIF files; null where they tell nothing.
-
-    Pixels are not decoded; a header may lie behind other blocks, so the whole file is at hand, a row at a time.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def run(batches):
-        for batch in batches:
-            sizes = [header_size(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s and s[k] for s in sizes], pa.int32()) for k in (0, 1))], names=["path", "width", "height"])
-
-    return files.mapInArrow(run, "path string, width int, height int")
-
-
-def header_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height as an image file's header has them."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:2] == b"BM" and len(data) >= 26:
-        w, h = struct.unpack("<ii", data[18:26])
-        return w, abs(h)
-    if data[:4] == b"GIF8" and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            kind = data[at + 1]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame: its size is in it
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return w, h
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    return None
+    """path, width, height, bytes_read from the headers of PNG, JPEG, BMP and GIF files; no size where they tell none. Some tens of bytes of a file are read."""
+    return _listing(spark, path, sizes=True).select("path", "width", "height", "bytes_read")
 
 
 def read_manifest(text: str) -> dict:
