@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.functions.expressions import bar, percent, tier
@@ -13,23 +13,60 @@ def health(images: DataFrame, files: DataFrame, lines: DataFrame, classes: int =
     classes without and with under `low` instances, share of the unknown class and whether it exceeds a tenth.
 
     images: image_id (and group); files: image_id, empty (no line); lines: image_id, n_tokens, cls_id.
-    Lines of under five tokens do not count; out-of-range ids are invalid, not instances. Only with a group
-    do lines meet images, in one join; classes are then counted in one aggregation.
+    Lines of under five tokens do not count; out-of-range ids are invalid, not instances.
     """
-    keys = [group] if group else []
-    of = images.select("image_id", *keys)
-    some = lines.where("n_tokens >= 5").select("image_id", "cls_id")
     if group:
-        some, files = some.join(of, "image_id"), files.join(of, "image_id")
-    a = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_images"))
-    b = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_label_files"), F.count_if("empty").alias("n_empty"))
-    valid = F.coalesce((F.col("cls_id") >= 0) & (F.col("cls_id") < classes), F.lit(False))
-    total = lambda test, name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name)
-    c = some.groupBy(*keys, "cls_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
-        total(valid, "n_instances"), total(~valid, "n_invalid"), total(F.col("cls_id") == unknown, "n_unknown"), F.count_if(valid).alias("n_seen"), F.count_if(valid & (F.col("n") < low)).alias("n_low"),
+        return health_in_all(images, files, lines, group, classes, unknown, low).where(F.col(group).isNotNull())
+    nothing = F.lit(None).cast("string")
+    counts = _facts(images.select(nothing.alias("part")), files.select(nothing.alias("part"), "empty"), _long_enough(lines).select(nothing.alias("part"), "cls_id"))
+    return _figures(counts.groupBy("part", "cls_id").agg(*_sums()), ["part"], classes, unknown, low).drop("part")
+
+
+def health_in_all(images: DataFrame, files: DataFrame, lines: DataFrame, group: str, classes: int = 150, unknown: int = 120, low: int = 10) -> DataFrame:
+    """health() of every group and, with null as the group, of all, from one pass.
+
+    Files and lines meet images by id, and are counted by group and class before anything else; grouping sets then
+    work on these few counts. Files and lines without an image, and images without a group, count in all only.
+    """
+    of = images.select("image_id", F.col(group).alias("part"))
+    facts = _facts(of.select("part"), files.join(of, "image_id", "left").select("part", "empty"), _long_enough(lines).join(of, "image_id", "left").select("part", "cls_id"))
+    by = facts.groupingSets([["part", "cls_id"], ["cls_id"]], "part", "cls_id").agg(*_sums(), F.grouping("part").alias("whole"))
+    out = _figures(by.where("whole = 1 or part is not null"), ["part", "whole"], classes, unknown, low).drop("whole")
+    return out.withColumnRenamed("part", group)
+
+
+def _long_enough(lines: DataFrame) -> DataFrame:
+    """image_id, cls_id: -1 for what is no number, null for short lines; those go with their count, as a filter here would parse lines twice."""
+    return lines.select("image_id", F.when(F.col("n_tokens") >= 5, F.coalesce(F.col("cls_id").cast("long"), F.lit(-1))).alias("cls_id"))
+
+
+AMOUNTS = ("n_images", "n_label_files", "n_empty", "n")
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in AMOUNTS]
+
+
+def _facts(images: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
+    """part, cls_id (null but for lines) and the AMOUNTS, counted for each of the three on its own: a few rows for each part and class."""
+    one = F.count(F.lit(1))
+    counted = [
+        images.groupBy("part").agg(one.alias("n_images")),
+        files.groupBy("part").agg(one.alias("n_label_files"), F.count_if("empty").alias("n_empty")),
+        lines.groupBy("part", "cls_id").agg(one.alias("n")).where("cls_id is not null"),
+    ]
+    full = [d.select("part", *(F.col(c) if c in d.columns else F.lit(None).cast("long").alias(c) for c in ("cls_id", *AMOUNTS))) for d in counted]
+    return full[0].unionByName(full[1]).unionByName(full[2])
+
+
+def _figures(counts: DataFrame, keys: list[str], classes: int, unknown: int, low: int) -> DataFrame:
+    """The figures of health() from sums by keys and class."""
+    valid = F.col("cls_id").between(0, classes - 1)
+    total = lambda value, name: F.coalesce(F.sum(value), F.lit(0)).alias(name)
+    df = counts.groupBy(*keys).agg(
+        *(total(F.col(c), c) for c in AMOUNTS[:3]), total(F.when(valid, F.col("n")), "n_instances"), total(F.when(~valid, F.col("n")), "n_invalid"), total(F.when(F.col("cls_id") == unknown, F.col("n")), "n_unknown"),
+        (classes - F.count_if(valid)).alias("n_zero"), F.count_if(valid & (F.col("n") < low)).alias("n_low"),
     )
-    df = a.join(b, keys, "left").join(c, keys, "left") if group else a.crossJoin(b).crossJoin(c)  # a row each without a group
-    df = df.na.fill(0).withColumn("n_zero", classes - F.col("n_seen")).drop("n_seen")
     df = df.withColumns({"avg_per_file": F.col("n_instances") / F.greatest("n_label_files", F.lit(1)), "unknown_pct": percent(F.col("n_unknown"), F.col("n_instances"))})
     return df.withColumn("unknown_warning", F.col("unknown_pct") > 10)
 

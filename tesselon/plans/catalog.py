@@ -70,6 +70,13 @@ def health_audit_by_split(spark: SparkSession, d: str) -> DataFrame:
     return _health(spark, d, "split")
 
 
+@query(f"select null::varchar as split, * from ({_health_sql('')}) union all by name select * from ({_health_sql('split')})")
+def health_audit_in_all(spark: SparkSession, d: str) -> DataFrame:
+    """Both audits from one pass; the row without a split is that of all."""
+    images = tables.images(spark, d).withColumn("split", F.when(F.col("image_id") % 5 == 0, "val").otherwise("train"))
+    return audit.health_in_all(images, tables.label_files(spark, d), labels.line_classes(tables.label_lines(spark, d)), "split", low=LOW)
+
+
 def _rule(name: str, rule: str, test: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return labels.parse_lines(tables.label_lines(spark, d), rule).groupBy("cls_id", "n_tokens").agg(F.count(F.lit(1)).alias("n"), F.sum("xc").alias("sum_xc"))
