@@ -266,7 +266,7 @@ CODES = "'A' || p_size || case when p_partkey % 3 = 0 then 'b' else '' end || ca
 ENTRIES = f"e as (select p_partkey as doc, p_name as translit, p_type as translation, {CODES} as codes from part)"
 
 
-def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+def dictionary_text(spark: SparkSession, d: str) -> DataFrame:
     """Lines of one document per part: an entry, wrapped before its codes for every third part, and noise."""
     p = tables.table(spark, d, "part")
     codes = F.expr(CODES)
@@ -278,17 +278,17 @@ def _dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     known = spark.range(1, 41).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("code"))
-    return lexicon.routed(lexicon.entries(_dictionary(spark, d)), known)
+    return lexicon.routed(lexicon.entries(dictionary_text(spark, d)), known)
 
 
 @query("select k as kind, count(*) as n from (select unnest(case when p_partkey % 3 = 1 then ['number', 'text', 'noise', 'text'] else ['text', 'empty', 'header'] end) as k from part) group by 1")
 def dictionary_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.classify_lines(_dictionary(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return lexicon.classify_lines(dictionary_text(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {ENTRIES} select doc, translit, translation, codes from e")
 def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.entries(_dictionary(spark, d)).select("doc", "translit", "translation", "codes")
+    return lexicon.entries(dictionary_text(spark, d)).select("doc", "translit", "translation", "codes")
 
 
 KNOWN = "(regexp_matches(codes, '^A[0-9]+b?$') and regexp_extract(codes, '[0-9]+')::int between 1 and 40)"
@@ -320,12 +320,12 @@ TOTALS = f"""with {ENTRIES}, l as (select count(*) as n_lines, count(*) filter (
 
 @query(TOTALS)
 def parse_totals(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.totals(_dictionary(spark, d), _entries(spark, d))
+    return lexicon.totals(dictionary_text(spark, d), _entries(spark, d))
 
 
 @query("select p_partkey as doc, 2 as pos, 'no brackets here' as line, 'noise' as kind from part where p_partkey % 3 = 1 order by 1 limit 15")
 def first_dropped_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.first_lines(_dictionary(spark, d), "noise", 15)
+    return lexicon.first_lines(dictionary_text(spark, d), "noise", 15)
 
 
 @query(f"with {SCORES} select cls::int as cls, max(score) as best from scores group by 1 order by best desc, cls limit 10")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.operators import geometry, matching, renames, trie
-from tesselon.plans.catalog import IMAGES
+from tesselon.operators import geometry, longtext, matching, renames, trie
+from tesselon.plans.catalog import ENTRIES, IMAGES, dictionary_text
 from tesselon.plans.registry import query
 from tesselon.sources import tables
 
@@ -140,3 +140,13 @@ def corrected_sequences(spark: SparkSession, d: str) -> DataFrame:
     seen = spark.sql(SEEN.replace("array[", "array(").replace("]", ")").replace("from customer", "from trie_customer"))
     found = trie.corrected(seen, lexicon, spark.createDataFrame(MISTAKES, "seen string, meant string, cost long"))
     return found.select(F.array_join("seq", " ").alias("seen"), F.array_join("fixed", " ").alias("fixed"), "cost")
+
+
+# --- one long document ---------------------------------------------------------------------------
+
+
+@query(f"with {ENTRIES} select row_number() over (order by doc) - 1 as n, translit, translation, codes, '[' || translit || '] ' || translation || ' {{' || codes || '}}' as raw from e")
+def long_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of all parts as a single document."""
+    lines = dictionary_text(spark, d).select(F.lit(1).alias("book"), F.struct("doc", "pos").alias("place"), "line")
+    return longtext.entries(lines, "book", "place").drop("book")
