@@ -56,13 +56,14 @@ def totals(lines: DataFrame, found: DataFrame) -> DataFrame:
     lines as in classify_lines; found as routed() gives it. Lines are counted as they come; texts of
     several documents are joined each on their own.
     """
-    kinds = classify_lines(lines)
-    text = kinds.where("kind = 'text'").groupBy("doc").agg((F.sum(F.length(F.trim("line"))) + F.count(F.lit(1)) - 1).alias("chars"))
-    a = kinds.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("kind") == "noise").alias("dropped"))
-    b = text.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("joined_chars"))
-    c = found.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("quarantined"), F.coalesce(F.sum("n_normalised"), F.lit(0)).alias("normalised"))
-    d = found.where("not clean").select(F.explode(F.split("unknown_codes", " ")).alias("code")).agg(F.countDistinct("code").alias("unknown_codes"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)  # a row each
+    is_text = F.col("kind") == "text"
+    by = classify_lines(lines).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "noise").alias("noise"), F.sum(F.when(is_text, F.length(F.trim("line")) + 1)).alias("chars"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    a = by.agg(total("n", "n_lines"), total("noise", "dropped"), total(F.col("chars") - 1, "joined_chars"))  # a space between lines
+    rows = found.select("clean", "n_normalised", F.posexplode_outer(F.when(~F.col("clean"), F.split("unknown_codes", " "))).alias("k", "code"))
+    one = F.coalesce("k", F.lit(0)) == 0  # the first row of each entry
+    c = rows.agg(F.count_if(one).alias("candidates"), F.count_if(one & F.col("clean")).alias("clean"), F.count_if(one & ~F.col("clean")).alias("quarantined"), total(F.when(one, F.col("n_normalised")), "normalised"), F.countDistinct("code").alias("unknown_codes"))
+    return a.crossJoin(c)  # a row each
 
 
 def first_lines(lines: DataFrame, kind: str, n: int) -> DataFrame:

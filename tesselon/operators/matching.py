@@ -109,6 +109,31 @@ def average_precision(detections: DataFrame, truth: DataFrame, points: int = 100
     return out.select("cls_id", "n_truth", F.coalesce("n_found", F.lit(0)).alias("n_found"), value("cut.p", "precision"), value("cut.r", "recall"), value("ap50", "ap50"), value("ap50_95", "ap50_95"))
 
 
+def suppressed(detections: DataFrame, iou: float = 0.30, conf: float = 0.25, cell: int = 512) -> DataFrame:
+    """The columns of scores.nms() and the same boxes, for images with any number of boxes.
+
+    Only boxes that overlap by more than iou meet, by grid. A box stays once every surer neighbour has gone, and goes once one of them stays;
+    each round settles all boxes of which that is known, so rounds follow the longest chain of neighbours, not the number of
+    boxes. Equal boxes of an image and class are one box.
+    """
+    keys = ["image_id", "cls_id"]
+    found = fixed(detections.where(F.col("conf") >= conf).select(*keys, "conf", *CORNERS).distinct())
+    order = lambda p: F.struct((-F.col(p + "conf")).alias("o"), *(F.col(p + c) for c in CORNERS))
+    share = F.col("both") / (_area("a_") + _area("b_") - F.col("both"))
+    rival = overlapping(found, found, keys, cell).where((share > iou) & (order("a_") < order("b_")))
+    surer, other = ([F.col(f"{p}{c}").alias(c) for c in ("conf", *CORNERS)] for p in ("a_", "b_"))
+    left = fixed(rival.select(*keys, F.struct(*surer).alias("surer"), F.struct(*other).alias("other")))
+    gone = left.select(*keys, F.col("other").alias("box")).limit(0)
+    while not left.isEmpty():
+        waits = left.select(*keys, F.col("other").alias("surer")).distinct()
+        stays = left.join(waits, [*keys, "surer"], "left_anti")  # nothing surer beside them is left
+        out = fixed(stays.select(*keys, F.col("other").alias("box")).distinct())
+        gone = gone.unionByName(out)
+        left = left.join(out.withColumnRenamed("box", "other"), [*keys, "other"], "left_anti")
+        left = fixed(left.join(out.withColumnRenamed("box", "surer"), [*keys, "surer"], "left_anti"))
+    return found.withColumn("box", F.struct("conf", *CORNERS)).join(gone, [*keys, "box"], "left_anti").select(*keys, "conf", *CORNERS)
+
+
 def cut_by_tiles(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
     """image_id, tile_x, tile_y, tile_w, tile_h, box columns: what each tile (image_id, x, y, tile_w, tile_h) has of each box, in the tile's coordinates."""
     t = tiles.select("image_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("tile_w")).alias("x2"), (F.col("y") + F.col("tile_h")).alias("y2"))

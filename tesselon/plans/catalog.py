@@ -410,8 +410,13 @@ REST = f"list_filter(l[2:], lambda b: {INTER} <= 0.3::double * greatest({AREA.fo
     s as (select image_id, cls_id, l[1] as kept, {REST} as rest from g union all select image_id, cls_id, l[1], {REST} from (select image_id, cls_id, rest as l from s where len(rest) > 0))
     select image_id, cls_id, kept.conf as conf, kept.x1 as x1, kept.y1 as y1, kept.x2 as x2, kept.y2 as y2 from s""")
 def nms(spark: SparkSession, d: str) -> DataFrame:
+    return scores.nms(confident_boxes(spark, d))
+
+
+def confident_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel boxes of three classes with a confidence."""
     df = geometry.pixel_boxes(with_size(spark, d)).withColumn("conf", (F.col("image_id") * 31 + F.col("cls_id") * 17 + F.col("x1")) % 101 / 100.0)
-    return scores.nms(df.select("image_id", (F.col("cls_id") % 3).alias("cls_id"), "conf", "x1", "y1", "x2", "y2"))
+    return df.select("image_id", (F.col("cls_id") % 3).alias("cls_id"), "conf", "x1", "y1", "x2", "y2")
 
 
 from tesselon.plans import dataset, detection  # noqa: E402, F401  register their queries

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.operators import geometry, longtext, matching, renames, trie
-from tesselon.plans.catalog import ENTRIES, IMAGES, dictionary_text
-from tesselon.plans.registry import query
+from tesselon.plans.catalog import ENTRIES, IMAGES, confident_boxes, dictionary_text
+from tesselon.plans.registry import ORACLE_SQL, query
 from tesselon.sources import tables
 
 # --- renames in place ----------------------------------------------------------------------------
@@ -96,6 +96,12 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
     return matching.average_precision(_found(truth), truth)
 
 
+@query(f"select distinct * from ({ORACLE_SQL['nms']})")
+def nms_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """Suppression by overlapping neighbours only, for images of any number of boxes."""
+    return matching.suppressed(confident_boxes(spark, d))
+
+
 #: Tiles 640 wide with steps of 480, and what each has of the boxes that are 8 pixels or more on a side.
 PIECES = f"""{TRUTH}, a as (select *, unnest(range(case when width <= 640 then 1 else ceil((width - 640) / 480)::bigint + 1 end)) as i from images), t as (select *, unnest(range(case when height <= 640 then 1 else ceil((height - 640) / 480)::bigint + 1 end)) as j from a),
     tiles as (select image_id, greatest(0, least(i * 480, width - 640)) as tx, greatest(0, least(j * 480, height - 640)) as ty, least(640, width) as tw, least(640, height) as th from t),
