@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Tables, fresh, sized_join, text_key
 from .ordering import runs
@@ -47,17 +48,23 @@ def _without(lines: bytes, starts: list[int]) -> tuple[bytes, int, int]:
     return b"\n".join([x for i, x in enumerate(parts) if i not in gone]), len(parts), len(gone)
 
 
+def id_number(docs: DataFrame, id_col: str) -> Column:
+    """A whole number for each id, the least one for null: integers as they are, any other type by its hash."""
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    return F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(NO_ID))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, text replaced by what is kept, then n_lines, n_removed and kept_sha256.
 
     Lines end at \\n. A null text stays null and counts as one blank line, as an empty one does. All-blank windows are left alone. Texts of
-    fewer than three lines stay as they are. Documents are ordered by id (an integer; null first),
-    then by a hash of the text. Rows equal in id and text are one document: each keeps what it keeps.
+    fewer than three lines stay as they are. Documents are ordered by id (null first; ids that are not
+    integers by their hash), then by a hash of the text. Rows equal in id and text are one document: each keeps what it keeps.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     doc, key, starts, n_lines, n_removed, sha = fresh(docs, "tess_doc", "tess_key", "tess_starts", "n_lines", "n_removed", "kept_sha256")
-    own = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), key: text_key(text_col)})
+    own = docs.withColumns({doc: id_number(docs, id_col), key: text_key(text_col)})
     rows = own.select(F.coalesce(text_col, F.lit("")), doc, key).mapInArrow(_windows, "h1 long, h2 long, doc long, key long, line long")
     found = runs(tables.write(rows), ["h1"], ["h2"], ["doc", "key", "line"], tables).where("later")
     by_doc = found.groupBy(F.col("doc").alias("d"), F.col("key").alias("k")).agg(F.sort_array(F.collect_set("line")).alias(starts))

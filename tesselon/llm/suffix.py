@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, sized_join, text_key
-from .linededup import NO_ID
+from .linededup import id_number
 from .ordering import runs
 
 BLOCK = 16
@@ -208,10 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same document or in another, all occurrences alike. shares_passage: the text holds a string of
     2 * gram bytes round an anchor that another text or document holds; true wherever two share
     `passage` bytes, if that is 3 * gram or more (and no more than `length`). Null texts count as empty, and texts
-    shorter than `length` keep all. Rows equal in id and text lie elsewhere to each other.
+    shorter than `length` keep all. Ids may be of any type. Rows equal in id and text lie elsewhere to each other.
     """
     tables = Tables(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), id_number(docs, id_col).alias("doc"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(own, "doc", "key", "text", length, gram, min(passage, length), tables)
     joined = sized_join(own, spans, [("doc", "d"), ("key", "k")], docs.count(), "left")
     joined = joined.select("text", "id", F.col("spans.first").alias("firsts"), F.col("spans.size").alias("sizes"), F.coalesce("shares", F.lit(False)).alias("shares_passage"))

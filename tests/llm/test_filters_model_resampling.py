@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.llm import gam, interactions, queries, resampling
+from tesselon.llm import gam, interactions, linededup, queries, resampling, suffix
 
 KINDS = "doc_id long, text string, lang string, source string, n int, done int, part string, fails int, x string, rank long"
 D = "/root/testdata/sf0.001"
@@ -46,6 +46,18 @@ def labels(spark):
     return spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").withColumn("source", F.lit("clash"))
 
 
+def test_ids_that_are_no_numbers(spark):
+    """Removal of lines and of repeated strings with text ids: as with numbers, but for the order of documents."""
+    block, lines = " ".join(f"w{i * i}" for i in range(200)), "a b\nc d\ne f\ng"
+    rows = [("x-1", f"one {block}"), ("y/2", f"{block} two"), (None, "short"), ("", lines), ("q", lines), ("z", None)]
+    named = spark.createDataFrame(rows, "doc_id string, text string")
+    numbered = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    a, b = ({r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(x).collect()} for x in (named, numbered))
+    assert a == {k: b[i] for i, (k, _) in enumerate(rows)} and a["x-1"][1] > 400
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(named).collect()}
+    assert sorted((got[""], got["q"])) == [0, 4] and {got[k] for k in ("x-1", "y/2", None, "z")} == {0}
+
+
 # --- filter audit --------------------------------------------------------------------------------
 
 
