@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions.expressions import grouped, overwritten
-from tesselon.operators import audit, geometry, kernels, labels, pairs, scores
+from tesselon.operators import audit, geometry, kernels, labels, pairs, pixels, scores
 from tesselon.plans.catalog import BOXES, DETECTIONS, FILES, IMAGES, PIXELS, with_size
 from tesselon.plans.registry import query
 from tesselon.sources import sinks, tables
@@ -209,49 +209,130 @@ def mask_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.mask_score(tables.pixels(spark, d).withColumn("value", F.when(F.col("value") > 127, 255).otherwise(0)), "vec_id")
 
 
-def _sums(spark: SparkSession, d: str, kernel) -> DataFrame:
-    """vec_id with the sum and a weighted sum of the first channel after a kernel."""
-    import numpy as np
-
-    def run(img, r):
-        x = kernel(img)[:, :, 0].astype(np.int64)
-        return int(x.sum()), int((x.ravel() * np.arange(1, x.size + 1)).sum())
-
-    return kernels.over_images(tables.gray_images(spark, d), run, "total long, weighted long", key="vec_id")
-
-
 def _kernel(name: str, kernel, sql: str) -> None:
+    """Registers a query: vec_id with the sum and a weighted sum of an image's values after a kernel of (px, width, height)."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _sums(spark, d, kernel)
+        rows = tables.gray_arrays(spark, d).withColumn("px", kernel(F.col("px"), F.col("width"), F.col("height")))
+        add = lambda s, x: s + x
+        return rows.select("vec_id", F.aggregate("px", F.lit(0).cast("long"), add).alias("total"), F.aggregate(F.transform("px", lambda v, i: v * (i + 1).cast("long")), F.lit(0).cast("long"), add).alias("weighted"))
 
     run.__name__ = name
     query(f"with {GRAY}, {sql} select vec_id, sum(value)::bigint as total, sum(value * (pos + 1))::bigint as weighted from out group by 1")(run)
 
 
-_kernel("kernel_brightness", lambda img: kernels.brightness(img, 1.25, -10), "out as (select vec_id, pos, least(round_even(abs(value * 1.25::double - 10), 0), 255) as value from px)")
-_kernel("kernel_shadow", lambda img: kernels.shadow(img, 3, 0.12), "out as (select vec_id, pos, least(round_even(value + case when pos % 8 >= 3 then 20 * 0.12::double else 0 end, 0), 255) as value from px)")
+_kernel("kernel_brightness", lambda px, w, h: pixels.brightness(px, 1.25, -10), "out as (select vec_id, pos, least(round_even(abs(value * 1.25::double - 10), 0), 255) as value from px)")
+_kernel("kernel_shadow", lambda px, w, h: pixels.shadow(px, w, 1, 3, 0.12), "out as (select vec_id, pos, least(round_even(value + case when pos % 8 >= 3 then 20 * 0.12::double else 0 end, 0), 255) as value from px)")
+NEAR = "from px a join px b on a.vec_id = b.vec_id and abs(a.pos // 8 - b.pos // 8) <= 1 and abs(a.pos % 8 - b.pos % 8) <= 1 group by 1, 2"
+_kernel("kernel_erosion", lambda px, w, h: pixels.eroded(px, w, h, 1), f"out as (select a.vec_id, a.pos, min(b.value) as value {NEAR})")
+_kernel("kernel_dilation", lambda px, w, h: pixels.dilated(px, w, h, 1), f"out as (select a.vec_id, a.pos, max(b.value) as value {NEAR})")
+_kernel("kernel_halving", lambda px, w, h: pixels.reduced(px, w, h, 1, 2), "out as (select vec_id, pos // 16 * 4 + pos % 8 // 2 as pos, round_even(avg(value), 0) as value from px group by all)")
+MIRROR = "case when abs({0}) % 14 < 8 then abs({0}) % 14 else 14 - abs({0}) % 14 end"
+_kernel("kernel_blur", lambda px, w, h: pixels.blurred(px, w, h, 1, 0.6), f"""k as (select exp(-0.5::double * pow(1 / 0.6::double, 2)) as e), t as (select unnest([-1, 0, 1]) as d, unnest([e / (e + 1 + e), 1 / (e + 1 + e), e / (e + 1 + e)]) as t from k),
+    v as (select a.vec_id, a.pos, sum(t * b.value) as value from px a, t join px b on b.vec_id = a.vec_id and b.pos = ({MIRROR.format("(a.pos // 8 + d)")}) * 8 + a.pos % 8 group by all),
+    out as (select a.vec_id, a.pos, round_even(sum(t * b.value), 0) as value from v a, t join v b on b.vec_id = a.vec_id and b.pos = a.pos // 8 * 8 + ({MIRROR.format("(a.pos % 8 + d)")}) group by all)""")
+_kernel("kernel_rotation", lambda px, w, h: pixels.rotated(px, w, h, 1, 2.5), f"""s as (select vec_id, pos, cos(radians(2.5)) * (pos % 8 - 4) - sin(radians(2.5)) * (pos // 8 - 4) + 4 as sx, sin(radians(2.5)) * (pos % 8 - 4) + cos(radians(2.5)) * (pos // 8 - 4) + 4 as sy from px),
+    f as (select vec_id, pos, sx - floor(sx) as fx, sy - floor(sy) as fy, floor(sx)::bigint as x0, floor(sy)::bigint as y0 from s), g as (select vec_id, list(value order by pos) as l from px group by 1),
+    q as (select vec_id, pos, fx, fy, {", ".join(f"l[({MIRROR.format(f'(y0 + {j})')}) * 8 + ({MIRROR.format(f'(x0 + {i})')}) + 1] as v{i}{j}" for i in (0, 1) for j in (0, 1))} from f join g using (vec_id)),
+    out as (select vec_id, pos, round_even((v00 * (1 - fx) + v10 * fx) * (1 - fy) + (v01 * (1 - fx) + v11 * fx) * fy, 0) as value from q)""")
+DRAW = "(('0x' || substr(md5({}), 1, 8))::bigint::double + 0.5::double) / 4294967296"
+ITEM = "'42:' || vec_id || ':' || pos || ':{0}'"
+NOISE = f"n as (select vec_id, pos, value, trunc(5 * sqrt(-2 * ln({DRAW.format(ITEM.format('a'))})) * cos(2 * pi() * {DRAW.format(ITEM.format('b'))})) as e from px), out as (select vec_id, pos, least(greatest(value + e, 0), 255) as value from n)"
 
 
-def _ones(n: int):
-    import numpy as np
+@query(f"""with {GRAY}, {NOISE} select vec_id, sum(value)::bigint as total, sum(value * (pos + 1))::bigint as weighted from out group by 1""")
+def kernel_noise(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.gray_arrays(spark, d).withColumn("px", pixels.noisy(F.col("px"), F.col("vec_id"), 5.0))
+    return _summed(rows)
 
-    return np.ones((n, n), np.uint8)
 
+SPOT = "floor((('0x' || substr(md5('42:' || vec_id || ':{0}:' || k), 1, 8))::bigint::double + 0.5::double) / 4294967296 * 8 * 8)::bigint"
 
-_kernel("kernel_erosion", lambda img: kernels.erode(img, _ones(3)), "out as (select a.vec_id, a.pos, min(b.value) as value from px a join px b on a.vec_id = b.vec_id and abs(a.pos // 8 - b.pos // 8) <= 1 and abs(a.pos % 8 - b.pos % 8) <= 1 group by 1, 2)")
-_kernel("kernel_halving", lambda img: kernels.resize(img, 4, 4, "area"), "out as (select vec_id, pos // 16 * 4 + pos % 8 // 2 as pos, round_even(avg(value), 0) as value from px group by all)")
-_kernel("kernel_mosaic", lambda img: kernels.mosaic([img, None, None, img], 2, 16), "out as (select vec_id, (pos // 8 + 8 * t) * 16 + pos % 8 + 8 * t as pos, value from px, (values (0), (1)) as v(t))")
 
+@query(f"""with {GRAY}, d as (select vec_id, k, {SPOT.format("salt")} as s, {SPOT.format("pepper")} as p from embeddings, (select unnest([1, 2, 3]) as k)), out as (select vec_id, pos, case when exists (select 1 from d where d.vec_id = px.vec_id and p = pos) then 0
+    when exists (select 1 from d where d.vec_id = px.vec_id and s = pos) then 255 else value end as value from px) select vec_id, sum(value)::bigint as total, sum(value * (pos + 1))::bigint as weighted from out group by 1""")
+def kernel_dots(spark: SparkSession, d: str) -> DataFrame:
+    """Three white and three black dots in each image."""
+    rows = tables.gray_arrays(spark, d).withColumn("px", pixels.salt_and_pepper(F.col("px"), F.col("width"), F.col("height"), 1, F.col("vec_id"), 0.1))
+    return _summed(rows)
+
+
+SAMPLED = f"""f as (select vec_id, pos, sx - floor(sx) as fx, sy - floor(sy) as fy, floor(sx)::bigint as x0, floor(sy)::bigint as y0 from s), g as (select vec_id, list(value order by pos) as l from px group by 1),
+    q as (select vec_id, pos, fx, fy, {", ".join(f"l[({MIRROR.format(f'(y0 + {j})')}) * 8 + ({MIRROR.format(f'(x0 + {i})')}) + 1] as v{i}{j}" for i in (0, 1) for j in (0, 1))} from f join g using (vec_id)),
+    out as (select vec_id, pos, round_even((v00 * (1 - fx) + v10 * fx) * (1 - fy) + (v01 * (1 - fx) + v11 * fx) * fy, 0) as value from q)"""
+FIELD = "'42:' || vec_id || ':{0}:' || pos % 8 || ':' || pos // 8"
+SUMMED = "select vec_id, sum(value)::bigint as total, sum(value * (pos + 1))::bigint as weighted from out group by 1"
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """vec_id with the sum and a weighted sum of px."""
+    return rows.select("vec_id", F.expr("aggregate(px, 0L, (s, x) -> s + x)").alias("total"), F.expr("aggregate(transform(px, (v, i) -> v * (i + 1)), 0L, (s, x) -> s + x)").alias("weighted"))
+
+
+@query(f"""with {GRAY}, u as (select vec_id, pos, {DRAW.format(FIELD.format("x"))} * 2 - 1 as ux, {DRAW.format(FIELD.format("y"))} * 2 - 1 as uy from px), w as (select range - 20 as d, exp(-0.5::double * pow((range - 20) / 5.0::double, 2)) as e from range(41)),
+    t as (select d, e / sum(e) over () as t from w), a as (select a.vec_id, a.pos, sum(t * b.ux) as ux, sum(t * b.uy) as uy from u a, t join u b on b.vec_id = a.vec_id and b.pos = ({MIRROR.format("(a.pos // 8 + d)")}) * 8 + a.pos % 8 group by all),
+    b as (select a.vec_id, a.pos, sum(t * b.ux) as ux, sum(t * b.uy) as uy from a, t join a b on b.vec_id = a.vec_id and b.pos = a.pos // 8 * 8 + ({MIRROR.format("(a.pos % 8 + d)")}) group by all),
+    s as (select vec_id, pos, least(greatest(pos % 8 + ux * 6, 0), 7) as sx, least(greatest(pos // 8 + uy * 6, 0), 7) as sy from b), {SAMPLED} {SUMMED}""")
+def kernel_elastic(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(tables.gray_arrays(spark, d).withColumn("px", pixels.elastic(F.col("px"), F.col("width"), F.col("height"), 1, F.col("vec_id"), 6.0, 5.0)))
+
+
+@query(f"with {GRAY}, out as (select vec_id, pos, round_even(value * 0.92::double + floor({DRAW.format("'42:' || vec_id || ':grain:0:0'")} * 25) * 0.08::double, 0) as value from px) {SUMMED}")
+def kernel_grain(spark: SparkSession, d: str) -> DataFrame:
+    """A texture on each image; at this size it has a single value."""
+    return _summed(tables.gray_arrays(spark, d).withColumn("px", pixels.grained(F.col("px"), F.col("width"), F.col("height"), 1, F.col("vec_id"))))
 
-@query(f"with {GRAY} select vec_id, 3::bigint as channels, round(sum((value / 255)::float::double * 3), 4) as total from px group by 1")
-def channels_first(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
 
-    def run(img, _):
-        x = kernels.chw(img)
-        return int(x.shape[1]), round(float(x.astype(np.float64).sum()), 4)
+@query(f"""with {GRAY}, e as (select vec_id, value from px where pos // 8 in (0, 7) union all select vec_id, value from px where pos % 8 in (0, 7)), m as (select vec_id, trunc(median(value)) as colour from e group by 1),
+    c as (select vec_id, colour, range as pos, range % 24 as x, range // 24 as y from m, range(576)), out as (select c.vec_id, c.pos, coalesce(p.value, colour) as value from c left join px p on p.vec_id = c.vec_id and x between 2 and 21 and y between 2 and 21 and p.pos = (y - 2) * 8 // 20 * 8 + (x - 2) * 8 // 20) {SUMMED}""")
+def kernel_letterbox(spark: SparkSession, d: str) -> DataFrame:
+    """Images of 8 x 8 on squares of 24 with a margin of 2."""
+    return _summed(tables.gray_arrays(spark, d).withColumn("px", pixels.letterboxed(F.col("px"), F.col("width"), F.col("height"), 1, 24, 2)))
 
-    return kernels.over_images(tables.gray_images(spark, d), run, "channels long, total double", key="vec_id")
+
+RING = "x >= x1 - {0} and x < 6 + {1} and y >= 1 - {0} and y < y2 + {1}"
+
+
+@query(f"""with {GRAY}, b as (select vec_id, vec_id % 3 as x1, 4 + vec_id % 2 as y2, vec_id % 5 = 0 as bare, case when vec_id % 2 = 0 then 80 else 200 end as ink from embeddings), p as (select *, pos % 8 as x, pos // 8 as y from px join b using (vec_id)),
+    out as (select vec_id, pos, case when bare then case when y < 4 then 80 else value end when {RING.format(1, 1)} and not ({RING.format(-1, -1)}) then ink else value end as value from p) {SUMMED}""")
+def kernel_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A frame round a box on each image, the mark of a missing box on every fifth."""
+    k = F.col("vec_id")
+    box = F.struct((k % 3).alias("x1"), F.lit(1).alias("y1"), F.lit(6).alias("x2"), (4 + k % 2).alias("y2"), (k % 2 == 0).alias("suspicious"))
+    rows = tables.gray_arrays(spark, d).withColumn("boxes", F.filter(F.array(box), lambda _: k % 5 != 0))
+    return _summed(rows.withColumn("px", pixels.framed(F.col("px"), F.col("width"), F.col("height"), 1, F.col("boxes"), [200], [80])))
+
+
+@query(f"""with {BOXES}, n as (select count(*) as n from orders), r as (select o_orderkey as image_id, row_number() over (order by o_orderkey) - 1 as rank from orders),
+    s as (select m.range as mosaic, t.range as slot, (('0x' || substr(md5('42:' || m.range || ':' || t.range), 1, 8))::bigint) % n as rank from range(20) m, range(64) t, n)
+    select mosaic, slot, cls_id, round(least(greatest(slot % 8 * 0.125 + xc * 0.125, 0), 1), 9) as nx, round(least(greatest(slot // 8 * 0.125 + yc * 0.125, 0), 1), 9) as ny, round(least(greatest(bw * 0.125, 0.001), 1), 9) as nw, round(least(greatest(bh * 0.125, 0.001), 1), 9) as nh
+    from s join r using (rank) join boxes using (image_id) where image_id % 7 <> 0""")
+def mosaic_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of 20 mosaics of random images, of which every seventh cannot be read."""
+    slots = spark.range(20 * 64).select(F.floor(F.col("id") / 64).alias("mosaic"), (F.col("id") % 64).alias("slot"))
+    tiles = pairs.drawn(tables.images(spark, d).select("image_id"), "image_id", slots).withColumn("px", F.when(F.col("image_id") % 7 != 0, F.array(F.lit(0))))
+    found = pixels.mosaic_labels(tiles, tables.boxes(spark, d), "mosaic", "image_id", 8, 640)
+    return found.select("mosaic", "slot", "cls_id", *(F.round(c, 9).alias(c) for c in ("nx", "ny", "nw", "nh")))
+
+
+@query()
+def augmented_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Each image after the whole chain as array expressions: what is drawn depends on its key, and tests hold the steps against plain versions."""
+    return _summed(pixels.augmented(tables.gray_arrays(spark, d), "vec_id", 1))
+
+
+@query(f"with {GRAY}, out as (select vec_id, (pos // 8 + 8 * t) * 16 + pos % 8 + 8 * t as pos, value from px, (values (0), (1)) as v(t)) select vec_id, sum(value)::bigint as total, sum(value * (pos + 1))::bigint as weighted from out group by 1")
+def kernel_mosaic(spark: SparkSession, d: str) -> DataFrame:
+    """Each image twice on a mosaic of 2 x 2, from corner to corner."""
+    slots = tables.gray_arrays(spark, d).select("vec_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("slot"), F.when(F.col("slot") != 1, F.col("px")).alias("px"))
+    return _summed(pixels.mosaics(slots, "vec_id", 2, 8, 1))
+
+
+@query(f"with {GRAY} select vec_id, 3::bigint as channels, round(sum((value / 255)::float::double * 3), 4) as total from px group by 1")
+def channels_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.gray_arrays(spark, d).withColumn("px", F.flatten(F.transform("px", lambda v: F.array_repeat(v, 3))))
+    out = pixels.channels_first(F.col("px"), F.col("width"), F.col("height"), 3)
+    return rows.select("vec_id", F.lit(3).cast("long").alias("channels"), F.round(F.aggregate(out, F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
 @query()

@@ -75,6 +75,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", "pos", F.pmod(F.round(F.col("v").cast("double") * 1000).cast("long"), F.lit(256)).alias("value"))
 
 
+def gray_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, width, height, px: the same with an image's values as an array."""
+    value = F.transform("embedding", lambda v: F.pmod(F.round(v.cast("double") * 1000).cast("long"), F.lit(256)).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), value.alias("px"))
+
+
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, width, height, channels, data: the same as rows of an image table."""
     value = F.transform("embedding", lambda v: F.pmod(F.round(v.cast("double") * 1000).cast("long"), F.lit(256)))
