@@ -17,9 +17,10 @@ def health(images: DataFrame, files: DataFrame, lines: DataFrame, classes: int =
     """
     if group:
         return health_in_all(images, files, lines, group, classes, unknown, low).where(F.col(group).isNotNull())
-    nothing = F.lit(None).cast("string")
-    counts = _facts(images.select(nothing.alias("part")), files.select(nothing.alias("part"), "empty"), _long_enough(lines).select(nothing.alias("part"), "cls_id"))
-    return _figures(counts.groupBy("part", "cls_id").agg(*_sums()), ["part"], classes, unknown, low).drop("part")
+    one = F.count(F.lit(1))
+    of = images.agg(one.alias("n_images")).crossJoin(files.agg(one.alias("n_label_files"), F.count_if("empty").alias("n_empty")))  # a row each
+    counts = _long_enough(lines).groupBy("cls_id").agg(one.alias("n")).where("cls_id is not null")
+    return _shares(of.crossJoin(counts.agg(*_class_figures(classes, unknown, low))))
 
 
 def health_in_all(images: DataFrame, files: DataFrame, lines: DataFrame, group: str, classes: int = 150, unknown: int = 120, low: int = 10) -> DataFrame:
@@ -30,9 +31,10 @@ def health_in_all(images: DataFrame, files: DataFrame, lines: DataFrame, group:
     """
     of = images.select("image_id", F.col(group).alias("part"))
     facts = _facts(of.select("part"), files.join(of, "image_id", "left").select("part", "empty"), _long_enough(lines).join(of, "image_id", "left").select("part", "cls_id"))
-    by = facts.groupingSets([["part", "cls_id"], ["cls_id"]], "part", "cls_id").agg(*_sums(), F.grouping("part").alias("whole"))
-    out = _figures(by.where("whole = 1 or part is not null"), ["part", "whole"], classes, unknown, low).drop("whole")
-    return out.withColumnRenamed("part", group)
+    by = facts.groupingSets([["part", "cls_id"], ["cls_id"]], "part", "cls_id").agg(*(F.sum(c).alias(c) for c in AMOUNTS), F.grouping("part").alias("whole"))
+    of = by.where("whole = 1 or part is not null").groupBy("part", "whole")
+    out = of.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in AMOUNTS[:3]), *_class_figures(classes, unknown, low))
+    return _shares(out.drop("whole")).withColumnRenamed("part", group)
 
 
 def _long_enough(lines: DataFrame) -> DataFrame:
@@ -43,10 +45,6 @@ def _long_enough(lines: DataFrame) -> DataFrame:
 AMOUNTS = ("n_images", "n_label_files", "n_empty", "n")
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in AMOUNTS]
-
-
 def _facts(images: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
     """part, cls_id (null but for lines) and the AMOUNTS, counted for each of the three on its own: a few rows for each part and class."""
     one = F.count(F.lit(1))
@@ -59,14 +57,15 @@ def _facts(images: DataFrame, files: DataFrame, lines: DataFrame) -> DataFrame:
     return full[0].unionByName(full[1]).unionByName(full[2])
 
 
-def _figures(counts: DataFrame, keys: list[str], classes: int, unknown: int, low: int) -> DataFrame:
-    """The figures of health() from sums by keys and class."""
+def _class_figures(classes: int, unknown: int, low: int) -> list[Column]:
+    """Aggregates of counts n by class."""
     valid = F.col("cls_id").between(0, classes - 1)
-    total = lambda value, name: F.coalesce(F.sum(value), F.lit(0)).alias(name)
-    df = counts.groupBy(*keys).agg(
-        *(total(F.col(c), c) for c in AMOUNTS[:3]), total(F.when(valid, F.col("n")), "n_instances"), total(F.when(~valid, F.col("n")), "n_invalid"), total(F.when(F.col("cls_id") == unknown, F.col("n")), "n_unknown"),
-        (classes - F.count_if(valid)).alias("n_zero"), F.count_if(valid & (F.col("n") < low)).alias("n_low"),
-    )
+    total = lambda test, name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name)
+    levels = [(classes - F.count_if(valid)).alias("n_zero"), F.count_if(valid & (F.col("n") < low)).alias("n_low")]
+    return [total(valid, "n_instances"), total(~valid, "n_invalid"), total(F.col("cls_id") == unknown, "n_unknown"), *levels]
+
+
+def _shares(df: DataFrame) -> DataFrame:
     df = df.withColumns({"avg_per_file": F.col("n_instances") / F.greatest("n_label_files", F.lit(1)), "unknown_pct": percent(F.col("n_unknown"), F.col("n_instances"))})
     return df.withColumn("unknown_warning", F.col("unknown_pct") > 10)
 
