@@ -390,6 +390,32 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(np.bincount(kinds.of, np.exp(kinds.share), lm.KINDS), 1)
 
 
+def test_lm_scores_as_a_plain_loop():
+    """Whole texts through windows, attention and both softmaxes, token by token."""
+    w, known, _ = some_model()
+    r = np.random.default_rng(4)
+    known = lm.Successors(r.integers(0, 9, lm.KINDS**2), r.integers(1, 9, lm.KINDS))
+    kinds = lm.Kinds(r.integers(0, 50, 3000), np.arange(3000) % 2 == 0)
+    n, first = np.array([1, 2, 15, 16, 17, 29, 30, 200]), 7
+    ids = r.integers(0, 3000, n.sum()).astype(np.uint16)
+    got, at = lm.score_ids(kinds, known, w, ids, n, first), 0
+    for i, size in enumerate(n):
+        y = [int(kinds.of[t]) for t in ids[at : at + size]]
+        x, total, step = [first, *y[:-1]], 0.0, lm.WINDOW - lm.OVERLAP
+        for j in range(size):
+            start = 0 if j < lm.WINDOW else (j - lm.OVERLAP) // step * step
+            seen = [w["embed"][x[k]] + w["place"][k - start] for k in range(start, j + 1)]
+            e = [math.exp(min(30, max(-30, (seen[-1] @ w["look"]) @ s))) for s in seen]
+            u = sum(b / sum(e) * s for b, s in zip(e, seen, strict=True)) @ w["mix"] + seen[-1]
+            z = np.exp(u / (1 + np.abs(u)) @ w["out"])
+            c, m = divmod(y[j], lm.MEMBERS)
+            for p, part, k in ((known.classes[x[j]], z[: lm.CLASSES], c), (known.members[x[j] * lm.CLASSES + c], z[lm.CLASSES :], m)):
+                total += math.log(part[k] * p[k] / (part * p).sum())
+            total += kinds.share[ids[at + j]]
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-9)
+        at += size
+
+
 def test_lm_gradients_and_learning():
     w, known, windows = some_model()
     x, y, use = windows.block(slice(None))
