@@ -390,6 +390,16 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(np.bincount(kinds.of, np.exp(kinds.share), lm.KINDS), 1)
 
 
+def test_lm_frequent_words_are_found_by_sums_as_by_bytes():
+    r = np.random.default_rng(8)
+    each = [r.integers(1, 9, n).astype(np.uint16) for n in [*r.integers(1, 5, 4000), 63, 64, 65, 66, 300, 300]]
+    values = {w.tobytes(): -float(i) - 1 for i, w in enumerate(each) if i % 2}
+    n = np.array([len(w) for w in each])
+    found = lm.Frequent(values, 10).of(np.concatenate(each), np.cumsum(n) - n, 1.0)
+    assert found.tolist() == [values.get(w.tobytes(), 1.0) for w in each] and (found == 1).any() and (found < 0).any()
+    assert lm.Frequent({}, 10).of(each[0], np.zeros(1, np.int64), 1.0).tolist() == [1.0]
+
+
 def test_lm_scores_as_a_plain_loop():
     """Whole texts through windows, attention and both softmaxes, token by token."""
     w, known, _ = some_model()
