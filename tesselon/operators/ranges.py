@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from tesselon.sources.scratch import fixed
 
-#: Bytes, by Spark's own estimate, up to which one task may number all rows.
-SMALL = 32 << 20
+#: Bytes, by Spark's own estimate, up to which one task may number all rows. Files are estimated by their compressed columns: some 1 to 3 bytes a key, of which a task holds 60.
+SMALL = 1 << 20
 #: Bits of a row's id that monotonically_increasing_id() gives to the place in its partition.
 PLACE = 33
 

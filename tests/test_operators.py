@@ -98,3 +98,13 @@ def test_collisions_and_png(spark):
     there = spark.createDataFrame([("y",)], "dst string")
     assert {r.src for r in sinks.collisions(plan, there).collect()} == {"a", "b", "c"}
     assert sinks.png(1, 1, b"\x01\x02\x03").startswith(b"\x89PNG")
+
+
+def test_ranks_of_many_rows_are_spread(spark):
+    """Ranks over all of some MB, by Spark's estimate, come from more than one task, and are the same."""
+    from pyspark.sql import functions as F
+
+    from tesselon.operators import pairs
+
+    got = pairs.ranked(spark.range(300_000), None, -F.col("id")).withColumn("part", F.spark_partition_id())
+    assert got.where("rank + id <> 300000").isEmpty() and got.select("part").distinct().count() > 1
