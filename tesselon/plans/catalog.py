@@ -413,9 +413,10 @@ def nms(spark: SparkSession, d: str) -> DataFrame:
     return scores.nms(confident_boxes(spark, d))
 
 
-def confident_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Pixel boxes of three classes with a confidence."""
-    df = geometry.pixel_boxes(with_size(spark, d)).withColumn("conf", (F.col("image_id") * 31 + F.col("cls_id") * 17 + F.col("x1")) % 101 / 100.0)
+def confident_boxes(spark: SparkSession, d: str, *hint: str) -> DataFrame:
+    """Pixel boxes of three classes with a confidence; a hint says how boxes are joined with their images."""
+    sizes = tables.images(spark, d)
+    df = geometry.pixel_boxes(tables.boxes(spark, d).join(sizes.hint(*hint) if hint else sizes, "image_id")).withColumn("conf", (F.col("image_id") * 31 + F.col("cls_id") * 17 + F.col("x1")) % 101 / 100.0)
     return df.select("image_id", (F.col("cls_id") % 3).alias("cls_id"), "conf", "x1", "y1", "x2", "y2")
 
 

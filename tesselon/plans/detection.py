@@ -103,7 +103,7 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select distinct * from ({ORACLE_SQL['nms']})")
 def nms_crowded(spark: SparkSession, d: str) -> DataFrame:
     """Suppression by overlapping neighbours only, for images of any number of boxes."""
-    return matching.suppressed(confident_boxes(spark, d))
+    return matching.suppressed(confident_boxes(spark, d, "merge"))
 
 
 #: Tiles 640 wide with steps of 480, and what each has of the boxes that are 8 pixels or more on a side.
