@@ -25,16 +25,16 @@ import base64
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, text_key
 
-WIDTH, WINDOW, OVERLAP = 16, 16, 3
+WIDTH, WINDOW, OVERLAP = 32, 32, 8
 #: Kinds are CLASSES classes of MEMBERS each; the first OPENERS classes are of subwords that open a word.
 CLASSES, BITS, OPENERS = 32, 5, 10
 MEMBERS = 1 << BITS
@@ -44,9 +44,9 @@ TOP = 200_000
 RATES = (0.02, 0.01, 0.004)
 ROUNDS = len(RATES)
 #: Windows in a training batch; batches whose changes to the embedding are made in one go.
-BATCH, HOLD = 256, 4
+BATCH, HOLD = 32, 4
 #: Windows scored at once.
-BLOCK = 512
+BLOCK = 256
 #: Weight of the kinds' own frequencies in the successors' distributions, in counts.
 SMOOTH = 20.0
 #: Words whose subwords a worker keeps.
@@ -291,9 +291,9 @@ class Subwords:
             sizes.append(np.diff(np.append(first, len(got))))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: list[bytes] | pa.BinaryArray) -> np.ndarray:
         """Places in the memo of words; new words go into it."""
-        coded = pa.array(words, pa.binary()).dictionary_encode()
+        coded = (words if isinstance(words, pa.BinaryArray) else pa.array(words, pa.binary())).dictionary_encode()
         different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = self.index
         new = [w for w in different if w not in index]
@@ -316,10 +316,21 @@ def subwords(path: str, pattern: str) -> Subwords:
     return Subwords(path, pattern)
 
 
-def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+def split_words(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
     """The words of all texts one after another, A-Z lower-cased and cut at ASCII white space, and how many each text has."""
-    lists = [(t or "").encode("utf-8").lower().split() for t in texts]  # bytes: only A-Z changes
-    return list(chain.from_iterable(lists)), np.fromiter(map(len, lists), np.int64, len(lists))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, n = lists.flatten().cast(pa.binary()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)
+    if pc.all(full).as_py() is False:  # white space at either end of a text cuts off an empty word
+        n = np.bincount(np.repeat(np.arange(len(n)), n), full.to_numpy(zero_copy_only=False), len(n)).astype(np.int64)
+        words = words.filter(full)
+    return words, n
+
+
+def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The same for a list."""
+    words, n = split_words(pa.array(texts, pa.string()))
+    return words.to_pylist(), n
 
 
 class Kinds:
@@ -383,7 +394,7 @@ def _encode(path: str, pattern: str):
             kind = batch.column(1).type
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                words, n = words_of(some.column(0).to_pylist())
+                words, n = split_words(some.column(0))
                 places = coder.places(words)
                 learned = np.repeat(some.column(3).to_numpy() >= 0, n)
                 more = np.bincount(places[learned], minlength=len(coder.index))
@@ -533,10 +544,9 @@ class Frequent:
         return out
 
 
-def _score(kinds: Kinds, known: Successors, weights: dict[str, np.ndarray], end: int, opens: np.ndarray, top: dict[bytes, int], total: int, distinct: int):
+def _score(kinds: Kinds, known: Successors, weights: dict[str, np.ndarray], end: int, opens: np.ndarray, frequent_words: Frequent):
     """Per text: token count, the model's score, the baseline over frequent words, and the rare words left."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_words = Frequent({word: math.log10((c + 1) / (total + distinct + 1)) for word, c in top.items()}, len(opens))
         for some, ids, n in _texts(batches):
             starts = np.flatnonzero(opens[ids])
             log = frequent_words.of(ids, starts, 1.0)  # logs of probabilities are below 0
@@ -588,9 +598,9 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     ends = streams.where("part >= 0").count()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     kinds, known, weights = fit(streams, counts, ends, coder)
-    top = {bytes(r["ids"]): r["n"] for r in most_frequent(counts, TOP).collect()}
+    top = Frequent({bytes(r["ids"]): math.log10((r["n"] + 1) / (total + distinct + 1)) for r in most_frequent(counts, TOP).collect()}, coder.size)
     texts = streams.where(f"part >= {HELD_OUT}").select("ids", "id", "key", (F.col("part") == HELD_OUT).alias("held_out"))
-    scored = tables.write(texts.mapInArrow(_score(kinds, known, weights, coder.end, coder.opens, top, total, distinct), f"id {kind}, key long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"))
+    scored = tables.write(texts.mapInArrow(_score(kinds, known, weights, coder.end, coder.opens, top), f"id {kind}, key long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>"))
     rare = scored.select("key", F.explode("rare").alias("ids")).join(counts, "ids", "left").groupBy("key").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total + distinct + 1))).alias("rest"))
     out = scored.drop("rare").join(rare, "key", "left")
     end = math.log10((ends + 1) / (total + distinct + 1))

@@ -450,6 +450,26 @@ def test_lm_gradients_and_learning():
     assert loss(single) < 0.7 * before
 
 
+def test_lm_learns_from_few_texts_what_successors_cannot_tell():
+    """Each text has one of ten themes with 20 kinds each; every target but a text's first ones sees 8 places or more."""
+    r = np.random.default_rng(6)
+
+    def stream(texts):
+        y = r.integers(0, 10, (texts, 1)) * 20 + r.integers(0, 20, (texts, 100))
+        return lm.Windows(y.ravel(), np.full(texts, 100), 255, lm.OVERLAP)
+
+    known = lm.Successors(np.ones(lm.KINDS**2), np.bincount(np.arange(200), minlength=lm.KINDS) * 1e4)
+    learned, held = stream(1000), stream(50)
+    learner, order = lm.Learner(lm.start_weights(), known, 0.02), r.permutation(len(learned))
+    for i in range(0, len(order), lm.BATCH):
+        learner.step(*learned.block(order[i : i + lm.BATCH]))
+    learner.settle()
+    x, y, use = held.block(slice(None))
+    assert (held.opens | (use.argmax(1) >= 8)).all()
+    loss = -lm.log_probability(learner.w, known, lm.hidden(learner.w, x)[0][use.ravel()], x[use], y[use]).mean()
+    assert loss < 4.0
+
+
 def test_lm_beats_the_word_counts_on_held_out_texts(spark):
     """Texts of a few sentences' worth of words in fixed succession: context tells what counts cannot."""
     r = random.Random(5)
