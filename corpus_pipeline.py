@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) stays."""
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more, candidates by SimHash and minimum hashes) stays."""
     ship(spark)
     return similar.keep_one_of_each(docs, size=5, percent=80)
 

@@ -44,6 +44,11 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         starts = (ends - lengths)[: n - shingle + 1].tolist()
         parts = [joined[s:e] for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         block = hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8)

@@ -1,10 +1,12 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Texts with equal shingle sets are one node. Candidates share one of `BANDS` digests of `ROWS`
-minimum hashes each, which two sets at a similarity of 0.8 miss with a chance of 2 in 100,000.
-A range join on SimHash segments is too wide for them: such pairs differ in up to about 12 bits, and
-within that distance of segment counts lie 8 % of all pairs of random fingerprints. Nodes that share
-a digest link to its smallest node, and what hangs together is a cluster. Clusters are cut into
+Texts with equal shingle sets are one node. Candidates come from two sides. Each set has a SimHash, and
+fingerprints at 2 or fewer differing bits are found by the range join on segment counts of `simhash`.
+Two sets at a similarity of 0.8 may differ in up to about 12 bits, and within that distance of segment counts
+lie 8 % of all pairs of random fingerprints, so for those the radius is not widened: candidates are
+also sets that share one of `BANDS` digests of `ROWS` minimum hashes each, which two sets at a
+similarity of 0.8 miss with a chance of 2 in 100,000. Nodes that share a digest link to its smallest
+node, and what hangs together over either kind of link is a cluster. Clusters are cut into
 blocks of bounded text; each pair of blocks is a tile, where all pairs are compared exactly.
 A tile gives a star forest, never pairs.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, sized_join, text_key
 from .graph import connected_components
-from .simhash import keep_least
+from .simhash import fingerprint_links, keep_least, majority
 
 BANDS, ROWS = 36, 6
 #: Shingles of a block, on average.
@@ -60,8 +62,9 @@ def _nodes(size: int):
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             keys = [bands(s) if len(s) > 1 else [] for s in sets]  # a single shingle is alike or not
-            columns = [*batch.columns[1:], pa.array(node), pa.array(n), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "node", "n", "bands"])
+            fp = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            columns = [*batch.columns[1:], pa.array(node), pa.array(n), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], "node", "n", "fp", "bands"])
 
     return run
 
@@ -108,14 +111,24 @@ def _tile(size: int, percent: int):
     return run
 
 
+def _by_fingerprint(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """node, hub: links that connect the nodes whose fingerprints differ in 2 or fewer bits."""
+    nodes = nodes.where("n > 1").select("node", "fp")
+    fps = tables.write(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("other")))
+    same = nodes.join(fps.where("hub <> other"), "fp").where("node <> hub").select("node", "hub")
+    near = fingerprint_links(fps.select("fp"))
+    ends = [fps.select(F.col("fp").alias(c), F.col("hub").alias(name)) for c, name in (("a", "node"), ("b", "hub"))]
+    return same.union(near.join(ends[0], "a").join(ends[1], "b").select("node", "hub"))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, tables: Tables, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """a, b: links that connect exactly the nodes whose sets are alike."""
     keyed = tables.write(nodes.select("node", F.explode("bands").alias("at")))
     hubs = keyed.groupBy("at").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("at", "hub")
     stars = keyed.join(hubs, "at").where("node <> hub").select("node", "hub")
-    clusters = tables.write(connected_components(stars, tables))
+    clusters = tables.write(connected_components(stars.union(_by_fingerprint(nodes, tables)), tables))
     tables.drop(keyed)
-    clusters = tables.write(clusters.union(clusters.select("component", "component")).distinct().join(nodes.drop("bands"), "node"))
+    clusters = tables.write(clusters.union(clusters.select("component", "component")).distinct().join(nodes.drop("bands", "fp"), "node"))
     blocks = clusters.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     clusters = clusters.join(blocks, "component").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("k"))
@@ -135,8 +148,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = Tables(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(id_col).alias("id"), text_key(text_col).alias("k"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = tables.write(rows.mapInArrow(_nodes(size), f"id {kind}, k long, node long, n long, bands array<long>"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "k")).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = tables.write(rows.mapInArrow(_nodes(size), f"id {kind}, k long, node long, n long, fp long, bands array<long>"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "k")).alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = tables.write(nodes)
     parts = connected_components(_links(docs, nodes, tables, id_col, text_col, size, percent), tables).withColumnRenamed("node", "part")
     whole = tables.write(nodes.join(parts, nodes.node == parts.part, "left").select("node", "least", F.coalesce("component", "node").alias("c")))

@@ -108,6 +108,17 @@ def test_near_copies(spark, docs, none, monkeypatch):
     assert similar.near_copies(docs).count() == len(odd_rows()) and similar.keep_one_of_each(none).count() == 0
 
 
+def test_near_copies_meet_by_fingerprints_alone(spark, monkeypatch):
+    """Without minimum hashes the range join on SimHash segments finds what differs in 2 bits or fewer."""
+    base = words(3000, 77).split()
+    texts = [" ".join(base), " ".join([*base[:500], "changed", *base[501:]]), words(3000, 78), "a b", "a c"]
+    bits = [simhash.majority(similar.shingles(t, 5)) for t in texts]
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= 2 < (bits[0] ^ bits[2]).bit_count()
+    monkeypatch.setattr(similar, "bands", lambda found: [])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component_id for r in similar.near_copies(rows).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_copy_of_one_word_goes(spark):
     import corpus_pipeline
 
