@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import Tables, text_key
 
 WIDTH, WINDOW, OVERLAP = 32, 32, 8
-#: Kinds are CLASSES classes of MEMBERS each; the first OPENERS classes are of subwords that open a word.
-CLASSES, BITS, OPENERS = 32, 5, 10
-MEMBERS = 1 << BITS
+#: Kinds are CLASSES classes of as many members each; the first OPENERS classes are of subwords that open a word.
+BITS, OPENERS = 5, 10
+CLASSES = MEMBERS = 1 << BITS
 KINDS = CLASSES * MEMBERS
 TOP = 200_000
 #: As many rounds as shares: each training text is learned from in exactly one round. Adam's rate of each.
@@ -46,20 +46,22 @@ ROUNDS = len(RATES)
 #: Windows in a training batch; batches whose changes to the embedding are made in one go.
 BATCH, HOLD = 32, 4
 #: Windows scored at once.
-BLOCK = 256
+BLOCK = 128
 #: Weight of the kinds' own frequencies in the successors' distributions, in counts.
 SMOOTH = 20.0
 #: Words whose subwords a worker keeps.
 MEMO = 500_000
+#: Texts split into words at once: each different word among them is looked up once.
+TEXTS = 2048
 #: Frequent words of more subwords than this are looked up by their bytes, not by a sum.
 LONG = 64
 
 f4 = np.float32
 BEFORE = np.tril(np.ones((WINDOW, WINDOW), f4))
-#: Sums the classes' and the members' part of a row of logits.
-HALVES = np.repeat(np.eye(2, dtype=f4), [CLASSES, MEMBERS], axis=0)
 #: Attention logits and output weights are held within these: the softmax needs no maximum, and no sum vanishes.
-LIMIT, MOST = f4(30), 2.0
+LIMIT, MOST = 30.0, 2.0
+#: Exponentials are taken as powers of two, which numpy raises twice as fast.
+BITS_OF_E = math.log2(math.e)
 
 
 # --- the model ---------------------------------------------------------------------------------
@@ -73,151 +75,197 @@ def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 class Successors:
-    """Probabilities of the next class, and of its members, by the preceding kind."""
+    """Probabilities of the next class, and of its members, by the preceding kind, one below the other in `both`."""
 
     def __init__(self, pairs: np.ndarray, single: np.ndarray):
         p = (single + 0.5) / (single + 0.5).sum()
         joint = (pairs.reshape(KINDS, KINDS) + SMOOTH * p) / (pairs.reshape(KINDS, KINDS).sum(1, keepdims=True) + SMOOTH)
         joint = joint.reshape(KINDS, CLASSES, MEMBERS)
         classes = joint.sum(2)
-        self.classes = classes.astype(f4)
-        self.members = (joint / classes[:, :, None]).astype(f4).reshape(KINDS * CLASSES, MEMBERS)
-
-
-def hidden(w: dict[str, np.ndarray], x: np.ndarray) -> tuple:
-    """States of windows x (n, WINDOW): each sees itself and what is before it."""
-    shape = (len(x), WINDOW, WIDTH)
-    e = w["embed"].take(x.ravel(), axis=0)
-    e.reshape(shape)[...] += w["place"]
-    s = e @ w["look"]
-    across = np.ascontiguousarray(e.reshape(shape).transpose(0, 2, 1))
-    a = s.reshape(shape) @ across
-    np.clip(a, -LIMIT, LIMIT, out=a)
-    np.exp(a, out=a)
-    a *= BEFORE
-    a /= row_sums(a)
-    c = (a @ e.reshape(shape)).reshape(-1, WIDTH)
-    h = c @ w["mix"]
-    h += e
-    size = np.abs(h)
-    size += 1
-    h /= size
-    return h, c, a, s, across, e
-
-
-def row_sums(x: np.ndarray) -> np.ndarray:
-    """Sums over the last axis, which stays with length one."""
-    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
-
-
-def _places(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the classes and the members of y are in a flat array of logits."""
-    row = np.arange(0, len(y) * (CLASSES + MEMBERS), CLASSES + MEMBERS)
-    return row + (y >> BITS), row + CLASSES + (y & (MEMBERS - 1))
-
-
-def _successors(known: Successors, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counted probabilities after x of all classes, and of the members of y's class."""
-    return known.classes.take(x, axis=0), known.members.take((x << (CLASSES.bit_length() - 1)) + (y >> BITS), axis=0)
-
-
-def log_probability(w: dict[str, np.ndarray], known: Successors, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of kinds y after kinds x in states h."""
-    z = h @ w["out"]
-    out = sum(z.ravel().take(at) for at in _places(y))
-    np.exp(z, out=z)
-    for p, part, at in zip(_successors(known, x, y), (z[:, :CLASSES], z[:, CLASSES:]), (y >> BITS, y & (MEMBERS - 1)), strict=True):
-        out += np.log(p.ravel().take(np.arange(0, p.size, p.shape[1]) + at) / np.einsum("ij,ij->i", part, p))
-    return out
+        joint /= classes[:, :, None]
+        self.both = np.concatenate([classes, joint.reshape(-1, MEMBERS)]).astype(f4)
+        self.classes, self.members = self.both[:KINDS], self.both[KINDS:]
+
+
+class Room:
+    """Arrays by name, which one step after another writes over."""
+
+    def __init__(self, kind=f4):
+        self.kind, self.held = np.dtype(kind), {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        found = self.held.get(name)
+        if found is None or found.shape != shape:
+            found = self.held[name] = np.empty(shape, self.kind)
+        return found
 
 
-def gradients(w: dict[str, np.ndarray], known: Successors, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradient of the mean negative log probability over the used places; that of the embedding by place."""
-    h, c, a, s, across, e = hidden(w, x)
-    shape, kind = (len(x), WINDOW, WIDTH), h.dtype
-    weight = use.ravel().astype(kind)
-    weight /= max(1, weight.sum())
-    x, y = x.ravel(), y.ravel()
-    z = h @ w["out"]
-    np.exp(z, out=z)
-    for p, part in zip(_successors(known, x, y), (z[:, :CLASSES], z[:, CLASSES:]), strict=True):
-        part *= p
-    z *= (weight[:, None] / (z @ HALVES.astype(kind))) @ HALVES.T.astype(kind)
-    flat = z.reshape(-1)
-    for at in _places(y):
-        flat[at] -= weight
+def hidden(w: dict[str, np.ndarray], x: np.ndarray, room: Room | None = None, skip: int = 0) -> tuple:
+    """States of windows x (n, WINDOW), one a row: each place sees itself and what is before it. The first `skip` places are only seen.
+
+    Products go window by window: many small ones with a matrix that lies in order are faster than one tall one.
+    """
+    room = room or Room(w["embed"].dtype)
+    shape = (len(x), WINDOW - skip, WIDTH)
+    e = w["embed"].take(x, axis=0, out=room("e", len(x), WINDOW, WIDTH), mode="clip")
+    e += w["place"]
+    s = np.matmul(e[:, skip:], w["look"] * BITS_OF_E, out=room("s", *shape))
+    across = room("across", len(x), WIDTH, WINDOW)
+    across[...] = e.transpose(0, 2, 1)
+    a = np.matmul(s, across, out=room("a", *shape[:2], WINDOW))
+    most = LIMIT * BITS_OF_E
+    if a.max(initial=0) > most or a.min(initial=0) < -most:
+        np.clip(a, -most, most, out=a)
+    np.exp2(a, out=a)
+    a *= BEFORE[skip:]
+    a /= row_sums(a, room("sums", *a.shape))
+    c = np.matmul(a, e, out=room("c", *shape))
+    h = np.matmul(c, w["mix"], out=room("h", *shape))
+    h += e[:, skip:]
+    slope = np.abs(h, out=room("slope", *shape))
+    slope += 1
+    np.divide(1, slope, out=slope)
+    h *= slope
+    return h.reshape(-1, WIDTH), c, a, s, across, e, slope
+
+
+def row_sums(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, in each place of out's: whole arrays divide faster than an array by a column."""
+    return np.matmul(x, np.ones((x.shape[-1], out.shape[-1]), x.dtype), out=out)
+
+
+@lru_cache(maxsize=8)
+def _starts(shape: tuple) -> np.ndarray:
+    return np.arange(0, math.prod(shape) * MEMBERS, MEMBERS).reshape(shape)
+
+
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For y's class and for its member, side by side: rows of counted probabilities after x, and where they are in a flat array of logits."""
+    rows, at = np.empty((2, *x.shape, 2), np.intp)
+    c = y >> BITS
+    rows[..., 0] = x
+    np.add((x << BITS) + KINDS, c, out=rows[..., 1])
+    at[..., 0] = c
+    np.bitwise_and(y, MEMBERS - 1, out=at[..., 1])
+    at += _starts(at.shape)
+    return rows, at
+
+
+def log_probability(w: dict[str, np.ndarray], known: Successors, h: np.ndarray, x: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """Natural log of the probability of kinds y after kinds x in states h, which have a row for each."""
+    room = room or Room(h.dtype)
+    rows, at = _places(x, y)
+    z = np.matmul(h, w["out"] * BITS_OF_E, out=room("z", *h.shape[:-1], CLASSES + MEMBERS))
+    own = z.reshape(-1).take(at) / BITS_OF_E
+    np.exp2(z, out=z)
+    p = known.both.take(rows, axis=0)
+    counted = p.reshape(-1).take(at) / np.vecdot(p, z.reshape(p.shape))
+    return own[..., 0] + own[..., 1] + np.log(counted[..., 0] * counted[..., 1])
+
+
+def gradients(w: dict[str, np.ndarray], known: Successors, x: np.ndarray, y: np.ndarray, use: np.ndarray, room: Room | None = None, by_place: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradient of the mean negative log probability over the used places; that of the embedding by place, one a row."""
+    room = room or Room(w["embed"].dtype)
+    h, c, a, s, across, e, slope = hidden(w, x, room)
+    shape, kind = e.shape, e.dtype
+    scale = kind.type(1 / max(1, np.count_nonzero(use)))
+    rows, at = _places(x, y)
+    z = np.matmul(h.reshape(shape), w["out"] * BITS_OF_E, out=room("z", *shape[:2], CLASSES + MEMBERS))
+    np.exp2(z, out=z)
+    halves = z.reshape(len(x), 2 * WINDOW, MEMBERS)
+    p = known.both.take(rows, axis=0).reshape(halves.shape)
+    halves *= p
+    halves /= row_sums(halves, p if p.dtype == kind else np.empty(p.shape, kind))
+    z.reshape(-1)[at.ravel()] -= 1
+    z.reshape(len(h), -1)[np.flatnonzero(~use)] = 0
     g = {"out": _product(h, z)}
-    dh = z @ w["out"].T
-    np.abs(h, out=h)
-    np.subtract(1, h, out=h)
-    h *= h
-    dh *= h
+    g["out"] *= scale
+    dh = np.empty(shape, kind) if by_place is None else by_place.reshape(shape)
+    np.matmul(z, w["out"].T.copy(), out=dh)
+    more = h.reshape(shape)  # nothing reads states from here on
+    slope *= slope
+    slope *= scale
+    dh *= slope
     g["mix"] = _product(c, dh)
-    dc = (dh @ w["mix"].T).reshape(shape)
-    da = dc @ across
+    dc = np.matmul(dh, w["mix"].T.copy(), out=room("dc", *shape))
+    da = np.matmul(dc, across, out=room("da", *a.shape))
+    c *= dc
+    da -= row_sums(c, room("sums", *a.shape))
     da *= a
-    da -= a * row_sums(da)
-    ds = (da @ e.reshape(shape)).reshape(-1, WIDTH)
-    dh += (a.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
-    dh += (da.transpose(0, 2, 1) @ s.reshape(shape)).reshape(-1, WIDTH)
+    ds = np.matmul(da, e, out=slope)
     g["look"] = _product(e, ds)
-    dh += ds @ w["look"].T
-    g["place"] = (np.ones(len(x) // WINDOW, kind) @ dh.reshape(len(x) // WINDOW, -1)).reshape(WINDOW, WIDTH)
-    return g, dh
+    dh += np.matmul(a.transpose(0, 2, 1), dc, out=more)
+    s /= BITS_OF_E
+    dh += np.matmul(da.transpose(0, 2, 1), s, out=more)
+    dh += np.matmul(ds, w["look"].T.copy(), out=more)
+    g["place"] = (np.ones(len(x), kind) @ dh.reshape(len(x), -1)).reshape(WINDOW, WIDTH)
+    return g, dh.reshape(-1, WIDTH)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a.T @ b for tall a and b: many small products are faster than one."""
-    whole = len(a) // 128 * 128
-    out = (a[:whole].reshape(-1, 128, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, 128, b.shape[1])).sum(0)
-    return out + a[whole:].T @ b[whole:]
+    """a.T @ b over all rows of a and b, in many small products."""
+    a, b = a.reshape(-1, a.shape[-1]), b.reshape(-1, b.shape[-1])
+    whole = len(a) // 64 * 64
+    out = (a[:whole].reshape(-1, 64, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, 64, b.shape[1])).sum(0)
+    return out + a[whole:].T @ b[whole:] if whole < len(a) else out
 
 
 def by_kind(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Rows of d summed by kind."""
-    order = np.argsort(x.astype(np.int16), kind="stable")
+    """Rows of d summed by kind; two columns at a time, as one complex number."""
+    order = np.argsort(x.astype(np.int16, copy=False), kind="stable")
     there = x.take(order)
     first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
     out = np.zeros((KINDS, d.shape[1]), d.dtype)
-    out[there.take(first)] = np.add.reduceat(d.take(order, axis=0), first)
+    pairs = d.take(order, axis=0).view(np.result_type(d.dtype, np.complex64))
+    out[there.take(first)] = np.add.reduceat(pairs, first).view(d.dtype)
     return out
 
 
 class Learner:
-    """Weights under Adam; changes to the embedding wait for HOLD batches."""
+    """Weights under Adam; changes to the embedding wait for HOLD batches. The other weights lie in one array and move together."""
 
     def __init__(self, w: dict[str, np.ndarray], known: Successors, rate: float):
-        self.w, self.known, self.rate = w, known, rate
-        self.steps = dict.fromkeys(w, 0)
-        self.m = {k: np.zeros_like(v) for k, v in w.items()}
-        self.s = {k: np.zeros_like(v) for k, v in w.items()}
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.w, self.known, self.rate, self.room = w, known, rate, Room(w["embed"].dtype)
+        self.rest = sorted(k for k in w if k != "embed")
+        flat, at = np.concatenate([w[k].ravel() for k in self.rest]), 0
+        for k in self.rest:
+            w[k] = flat[at : at + w[k].size].reshape(w[k].shape)
+            at += w[k].size
+        self.moved = {"embed": w["embed"], "rest": flat}
+        self.steps = dict.fromkeys(self.moved, 0)
+        self.m = {k: np.zeros_like(v) for k, v in self.moved.items()}
+        self.s = {k: np.zeros_like(v) for k, v in self.moved.items()}
+        self.x, self.by_place = np.zeros(0, np.int16), np.zeros((0, WIDTH), w["embed"].dtype)
+        self.held = self.rows = 0
 
     def _move(self, k: str, d: np.ndarray) -> None:
         self.steps[k] += 1
-        t, m, s = self.steps[k], self.m[k], self.s[k]
-        m += f4(0.1) * (d - m)
+        t, m, s, r = self.steps[k], self.m[k], self.s[k], self.room(k, *d.shape)
+        m += np.multiply(f4(0.1), np.subtract(d, m, out=r), out=r)
         d *= d
-        s += f4(0.01) * (d - s)
-        r = np.sqrt(s * f4(1 / (1 - 0.99**t)))
+        s += np.multiply(f4(0.01), np.subtract(d, s, out=r), out=r)
+        np.sqrt(np.multiply(s, f4(1 / (1 - 0.99**t)), out=r), out=r)
         r += f4(1e-8)
         np.divide(m, r, out=r)
         r *= f4(self.rate / (1 - 0.9**t))
-        self.w[k] -= r
+        self.moved[k] -= r
 
     def step(self, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> None:
-        g, by_place = gradients(self.w, self.known, x, y, use)
-        for k, d in g.items():
-            self._move(k, d)
+        rows = slice(self.rows, self.rows + x.size)
+        if rows.stop > len(self.x):
+            self.x, self.by_place = (np.concatenate([v[: self.rows], np.empty((HOLD * x.size, *v.shape[1:]), v.dtype)]) for v in (self.x, self.by_place))
+        g, _ = gradients(self.w, self.known, x, y, use, self.room, self.by_place[rows])
+        self._move("rest", np.concatenate([g[k].ravel() for k in self.rest]))
         np.clip(self.w["out"], -MOST, MOST, out=self.w["out"])
-        self.held.append((x.ravel(), by_place))
-        if len(self.held) >= HOLD:
+        self.x[rows] = x.ravel()
+        self.held, self.rows = self.held + 1, rows.stop
+        if self.held >= HOLD:
             self.settle()
 
     def settle(self) -> None:
         if self.held:
-            self._move("embed", by_kind(*(np.concatenate([h[i] for h in self.held]) for i in (0, 1))))
-            self.held.clear()
+            self._move("embed", by_kind(self.x[: self.rows], self.by_place[: self.rows]))
+            self.held = self.rows = 0
 
 
 class Windows:
@@ -233,9 +281,9 @@ class Windows:
         self.owner = np.repeat(np.arange(len(lengths)), n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.start, self.end, self.opens = begins[self.owner] + place * (WINDOW - overlap), ends[self.owner], place == 0
-        self.y, self.overlap = kinds, overlap
-        self.x = np.empty_like(kinds)
-        self.x[1:] = kinds[:-1]
+        self.y, self.overlap = kinds.astype(np.intp), overlap
+        self.x = np.empty_like(self.y)
+        self.x[1:] = self.y[:-1]
         self.x[begins] = first
 
     def __len__(self) -> int:
@@ -245,8 +293,10 @@ class Windows:
         """Inputs, targets and use."""
         along = np.arange(WINDOW)
         at, end = self.start[which][:, None] + along, self.end[which][:, None]
-        use = (at < end) & ((along >= self.overlap) | self.opens[which][:, None])
-        at = np.minimum(at, end - 1)
+        use = at < end
+        if self.overlap:
+            use &= (along >= self.overlap) | self.opens[which][:, None]
+        np.minimum(at, end - 1, out=at)
         return self.x.take(at), self.y.take(at), use
 
 
@@ -296,13 +346,16 @@ class Subwords:
         coded = (words if isinstance(words, pa.BinaryArray) else pa.array(words, pa.binary())).dictionary_encode()
         different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = self.index
-        new = [w for w in different if w not in index]
-        if new:
+        found = list(map(index.get, different))
+        if None in found:
+            new = [w for w, i in zip(different, found, strict=True) if i is None]
             ids, sizes = self.of(new)
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
             self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(index.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
+            at = iter(range(len(index) - len(new), len(index)))
+            found = [next(at) if i is None else i for i in found]
+        return np.array(found, np.int64)[coded.indices.to_numpy()]
 
     def spelled(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places of the memo, one after another, and how many each has."""
@@ -392,8 +445,8 @@ def _encode(path: str, pattern: str):
 
         for batch in batches:
             kind = batch.column(1).type
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(i, TEXTS)
                 words, n = split_words(some.column(0))
                 places = coder.places(words)
                 learned = np.repeat(some.column(3).to_numpy() >= 0, n)
@@ -493,17 +546,21 @@ def fit(streams: DataFrame, counts: DataFrame, ends: int, coder: Subwords) -> tu
 
 
 def score_ids(kinds: Kinds, known: Successors, w: dict[str, np.ndarray], ids: np.ndarray, n: np.ndarray, first: int) -> np.ndarray:
-    """log10 probability of each text, given as its number of ids; windows of many texts go through the model together."""
+    """log10 probability of each text, given as its number of ids; windows of many texts go through the model together.
+
+    Places that are context only are seen, but have no states of their own.
+    """
     windows = Windows(kinds.of[ids], n, first, OVERLAP)
     out = np.bincount(np.repeat(np.arange(len(n)), n), kinds.share[ids], len(n))
-    for i in range(0, len(windows), BLOCK):
-        which = slice(i, i + BLOCK)
-        x, y, use = windows.block(which)
-        at = np.flatnonzero(use)
-        p = log_probability(w, known, hidden(w, x)[0].take(at, axis=0), x.take(at), y.take(at))
-        low = windows.owner[i]
-        some = np.bincount(windows.owner[which][at // WINDOW] - low, p)
-        out[low : low + len(some)] += some
+    room = Room(w["embed"].dtype)
+    for opens, skip in ((True, 0), (False, OVERLAP)):
+        mine = np.flatnonzero(windows.opens == opens)
+        for i in range(0, len(mine), BLOCK):
+            x, y, use = windows.block(mine[i : i + BLOCK])
+            h = hidden(w, x, room, skip)[0].reshape(len(x), -1, WIDTH)
+            p = log_probability(w, known, h, x[:, skip:], y[:, skip:], room)
+            p[~use[:, skip:]] = 0
+            out += np.bincount(windows.owner[mine[i : i + BLOCK]], p.sum(1), len(n))
     return out / math.log(10)
 
 
@@ -536,9 +593,9 @@ class Frequent:
         out = np.full(len(starts), absent)
         if len(self.keys):
             keys = self._keys(ids, starts, n)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            there = self.keys.take(at) == keys
-            out[there] = self.values.take(at[there])
+            different, which = np.unique(keys, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, different), len(self.keys) - 1)
+            out = np.where(self.keys.take(at) == different, self.values.take(at), absent)[which]
         for i in np.flatnonzero(n > LONG):
             out[i] = self.long.get(ids[starts[i] : starts[i] + n[i]].tobytes(), absent)
         return out

@@ -481,6 +481,69 @@ def test_lm_learns_from_few_texts_what_successors_cannot_tell():
     assert loss < 4.0
 
 
+def test_lm_places_that_are_context_only_have_no_states():
+    w, _, windows = some_model()
+    x, _, _ = windows.block(slice(None))
+    whole = lm.hidden(w, x)[0].reshape(len(x), lm.WINDOW, lm.WIDTH)
+    for skip in (0, 1, lm.OVERLAP):
+        part = lm.hidden(w, x, skip=skip)
+        assert part[2].shape == (len(x), lm.WINDOW - skip, lm.WINDOW)
+        assert np.allclose(part[0].reshape(len(x), -1, lm.WIDTH), whole[:, skip:], rtol=1e-12, atol=1e-12)
+
+
+def test_lm_attention_logits_beyond_the_limit_are_held():
+    w, _, windows = some_model()
+    x, _, _ = windows.block(slice(0, 3))
+    w["embed"] *= 300
+    e = w["embed"][x] + w["place"]
+    a = np.exp(np.clip((e @ w["look"]) @ e.transpose(0, 2, 1), -lm.LIMIT, lm.LIMIT)) * np.tril(np.ones((lm.WINDOW, lm.WINDOW)))
+    u = (a / a.sum(2, keepdims=True)) @ e @ w["mix"] + e
+    assert np.allclose(lm.hidden(w, x)[0].reshape(u.shape), u / (1 + np.abs(u)), rtol=1e-9)
+
+
+def test_lm_held_changes_are_those_of_all_batches_whatever_their_sizes(monkeypatch):
+    w, known, windows = some_model(np.float32)
+    learner, seen, plain = lm.Learner(w, known, 0.02), [], lm.by_kind
+    monkeypatch.setattr(lm, "by_kind", lambda x, d: seen.append((x.copy(), d.copy())) or plain(x, d))
+    before, want = w["embed"].copy(), []
+    for low, high in ((0, 3), (3, 13), (13, 14), (14, 20), (20, 22)):
+        x, y, use = windows.block(slice(low, high))
+        want.append((x.ravel(), lm.gradients(w, known, x, y, use)[1]))
+        learner.step(x, y, use)
+    learner.settle()
+    for got, each in zip(seen, (want[: lm.HOLD], want[lm.HOLD :]), strict=True):
+        assert got[0].tolist() == np.concatenate([x for x, _ in each]).tolist()
+        assert np.allclose(got[1], np.concatenate([d for _, d in each]), rtol=1e-4, atol=1e-7)
+    assert (w["embed"] != before).any()
+
+
+def test_lm_looks_up_each_different_word_once():
+    class Counted(dict):
+        n = 0
+
+        def get(self, k, default=None):
+            self.n += 1
+            return super().get(k, default)
+
+        def __getitem__(self, k):
+            self.n += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            self.n += 1
+            return super().__contains__(k)
+
+    coder = lm.subwords(TEXT, P.PATTERN)
+    coder.forget()
+    coder.index = Counted()
+    for some in ([b"the", b"cat", b"the"], [b"a", b"the", b"dog", b"a"]):
+        coder.index.n = 0
+        places = coder.places(some)
+        assert coder.index.n == len(set(some)) and [coder.index[w] for w in some] == places.tolist()
+    assert coder.spelled(places)[0].tolist() == coder.of([b"a", b"the", b"dog", b"a"])[0].tolist()
+    coder.forget()
+
+
 def test_lm_beats_the_word_counts_on_held_out_texts(spark):
     """Texts of a few sentences' worth of words in fixed succession: context tells what counts cannot."""
     r = random.Random(5)
